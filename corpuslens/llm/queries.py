@@ -26,6 +26,12 @@ def op6_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents", "doc_id", "text"), 16)
 
 
+def op7_simhash_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "fingerprint", "component_id")
+
+
 def op8_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import overlaps
 
@@ -45,7 +51,7 @@ def op10_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(table(spark, sf_dir, "pages", "page_id", "url", "html"))
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op6_ring_shards, op8_wu_manber_decontamination, op9_token_archive, op10_warc_archive)}
+QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op6_ring_shards, op7_simhash_trie_join, op8_wu_manber_decontamination, op9_token_archive, op10_warc_archive)}
 
 
 def oracle_sql() -> dict[str, str]:
