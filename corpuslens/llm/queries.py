@@ -14,12 +14,45 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def held_out(doc_id: str, folds: int, fold: int):
+    """Whether a row is of the fold that nothing is learned from; a null id is not."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds == fold, F.lit(False)).alias("held_out")
+
+
+def op1_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .site_style import extract
+
+    return extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+def op2_cross_polytope_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer("word_bpe_49k.json"))
 
 
+def op4_segmentation_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import langid
+
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    out = langid.predict(docs, langid.fit(docs, tokenizer("piece_bpe_32k.model")), carry=["doc_id"])
+    return out.select("doc_id", held_out("doc_id", 4, 2), "lang_pred", "score")
+
+
+def op5_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    out = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels", "doc_id", "quality")), carry=["doc_id"])
+    return out.select("doc_id", held_out("doc_id", 3, 1), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import assign_shards
 
@@ -51,7 +84,7 @@ def op10_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(table(spark, sf_dir, "pages", "page_id", "url", "html"))
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op6_ring_shards, op7_simhash_trie_join, op8_wu_manber_decontamination, op9_token_archive, op10_warc_archive)}
+QUERIES = {f.__name__: f for f in (op1_site_style_tree, op2_cross_polytope_ann, op3_best_fit_packing, op4_segmentation_langid, op5_pu_quality, op6_ring_shards, op7_simhash_trie_join, op8_wu_manber_decontamination, op9_token_archive, op10_warc_archive)}
 
 
 def oracle_sql() -> dict[str, str]:
