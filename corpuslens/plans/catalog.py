@@ -102,7 +102,7 @@ PLANS: dict[str, str] = {
     "w15_dft_bin": SENSOR + ", n as (select unit, count(*) n from s group by 1) select s.unit, k.i k, round(sqrt(pow(sum(s.v * cos(2 * pi() * k.i * (s.i - 1) / n.n)), 2) + pow(sum(s.v * sin(2 * pi() * k.i * (s.i - 1) / n.n)), 2)), 4) size from s join n on n.unit = s.unit cross join {series:1,3} k group by 1, 2",
     "w18_surprise": "with e as (select user_id unit, event_type t, row_number() over (partition by user_id order by ts, event_id) i from {events}), p as (select unit, i, t, lag(t) over (partition by unit order by i) b from e), c as (select unit, i, t, b, count(*) over (partition by b, t order by unit, i rows between unbounded preceding and current row) - 1 pair, count(*) over (partition by b order by unit, i rows between unbounded preceding and current row) - 1 base from p where b is not null) select unit, i, round(-log2((pair + 1.0) / (base + 8.0)), 9) bits from c",
     "w7_peak_deviation": SENSOR + ", z as (select unit, i, v - avg(v) over (partition by unit) d, max(i) over (partition by unit) n from s) select unit, round(max(abs(d)), 6) peak from z where i > n - 10 group by 1",
-    "d2_elapsed_hours": "with e as (select user_id unit, event_id, {micros:ts} us, row_number() over (partition by user_id order by ts, event_id) i from {events}) select unit, event_id, round((us - lag(us) over (partition by unit order by i)) / 3.6e9, 6) hours from e",
+    "d2_elapsed_hours": "with e as (select user_id unit, event_id, {micros:ts} us, row_number() over (partition by user_id order by ts, event_id) i from {events}) select unit, event_id, round((us - lag(us) over (partition by unit order by i)) / 3.6e9, 6) as elapsed_hours from e",
     "ag39_specificity": SENSOR + ", t as (select i, max(v) mx, avg(v) av from s group by 1 having max(v) > 0) select round(avg((mx - av) / mx), 9) specificity from t",
     "ag41_rollup": SENSOR + "select floor(i / 8) epoch, floor(i / 64) era, cast(count(*) as bigint) n, round(avg(v), 6) level from s group by 1, 2",
     # integer geometry
