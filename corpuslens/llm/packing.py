@@ -9,6 +9,7 @@ out to the pieces by their rank within their length.
 
 from __future__ import annotations
 
+import bisect
 import zlib
 
 import numpy as np
@@ -20,7 +21,9 @@ from .common import cut, map_columns
 from .tokens import encoder
 
 #: Steps of one search for a filling, and of the search for a better plan as a whole. They bound the driver's time; the incumbent stands when they run out.
-FILL_STEPS, PLAN_STEPS = 4000, 60
+FILL_STEPS, PLAN_STEPS = 4000, 12
+#: Sequences, the last that the first plan completes, whose fillings are searched again if the plan needs more than the bound.
+TAIL = 96
 #: Rows that are ranked in one task at about the most.
 RANKED_ROWS = 100_000
 
@@ -64,7 +67,8 @@ def best_filling(counts: np.ndarray, room: int, steps: int = FILL_STEPS) -> list
     best_sum, left = 0, steps
     reach = np.zeros(len(have) + 1, np.int64)
     reach[:-1] = np.cumsum((counts[have] * np.array(have, np.int64))[::-1])[::-1] if have else 0
-    at = {n: i for i, n in enumerate(have)}
+    reach = reach.tolist()
+    at, below = {n: i for i, n in enumerate(have)}, [-n for n in have]
     picked: list[int] = []
 
     def search(i: int, room_left: int, total: int) -> None:
@@ -73,10 +77,10 @@ def best_filling(counts: np.ndarray, room: int, steps: int = FILL_STEPS) -> list
             best, best_sum = picked.copy(), total
         while i < len(have) and best_sum < room and left > 0:
             if have[i] > room_left:
-                i = at[room_left] if room_left in at and at[room_left] >= i else int(np.searchsorted(-np.array(have), -room_left))
+                i = max(i, bisect.bisect_left(below, -room_left))
                 if i >= len(have):
                     return
-            if total + min(room_left, int(reach[i])) <= best_sum:
+            if total + min(room_left, reach[i]) <= best_sum:
                 return
             left -= 1
             n = have[i]
@@ -115,25 +119,38 @@ def lower_bound(counts: np.ndarray, capacity: int) -> int:
 def plan(counts: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
     """Patterns (lengths of one sequence, largest first) and how many sequences have each.
 
-    The first plan completes every sequence with its best filling. While it needs more than the lower
-    bound, other fillings of the sequences that waste most are tried: each is branched on by forbidding
-    the plan's filling for that length, and a branch ends as soon as its waste reaches the incumbent's.
+    The first plan completes every sequence with its best filling. Waste is left to its end, so if it
+    needs more than the lower bound, its last sequences are packed again: branches forbid the filling
+    found for the lengths that waste most, and end as soon as their waste reaches the incumbent's.
     """
-    bound = lower_bound(counts, capacity)
-    best = _complete(counts, capacity, {}, None)
-    queue: list[dict[int, int]] = [{}]
-    for _ in range(PLAN_STEPS if len(counts) else 0):
-        if sum(k for _, k in best) <= bound or not queue:
+    made = _complete(counts, capacity, {}, None)
+    spare = sum(k for _, k in made) - lower_bound(counts, capacity)
+    if spare <= 0:
+        return made
+    head, tail, left = list(made), [], TAIL
+    while head and left > 0:
+        p, k = head.pop()
+        take = min(k, left)
+        tail.append((p, take))
+        left -= take
+        if k > take:
+            head.append((p, k - take))
+    rest = np.zeros_like(counts)
+    for p, k in tail:
+        rest += np.bincount(p, minlength=len(counts)) * k
+    best, aim, queue = tail, sum(k for _, k in tail) - spare, [{}]
+    for _ in range(PLAN_STEPS):
+        if sum(k for _, k in best) <= aim or not queue:
             break
         forbid = queue.pop(0)
         wasted = sorted(((capacity - sum(p)) * k, p[0]) for p, k in best if p[0] not in forbid)[-2:]
         for _, largest in wasted:
             other = forbid | {largest: forbid.get(largest, 0) + 1}
             queue.append(other)
-            made = _complete(counts, capacity, other, sum(k for _, k in best))
-            if made is not None:
-                best = made
-    return best
+            found = _complete(rest, capacity, other, sum(k for _, k in best))
+            if found is not None:
+                best = found
+    return head + best
 
 
 def _complete(counts: np.ndarray, capacity: int, forbid: dict[int, int], incumbent: int | None) -> list[tuple[list[int], int]] | None:
@@ -191,7 +208,7 @@ def pack(pieces: DataFrame, *, capacity: int = 2048, key: str = "doc_id") -> Dat
             taken[n] += k * times
             offset += n * k
         sequence += times
-    # bounded: a pattern uses up a length, so there are at most `capacity` patterns of at most 64 different lengths
+    # bounded by `capacity`, not by the input: each pattern leaves of some length fewer than it takes, and has at most 64 different lengths
     plan_of = spark.sparkContext.broadcast({n: tuple(np.array(x, np.int64) for x in zip(*s)) for n, s in segments.items()})
 
     from pyspark.sql import Window
