@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows and bytes that one Arrow batch holds at most, so that a Python worker's memory is bounded.
-BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 3000, 16 << 20
 
 
 _shipped: set[str] = set()

@@ -10,10 +10,12 @@ import pyarrow.compute as pc
 
 #: Letters that no normaliser composes or reorders, then ASCII signs that every pre-tokenizer splits off (no apostrophe).
 _PLAIN = r"^(?P<a>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<b>[!-&(-/:-@\[-`{-~]*)$"
+#: The signs by which byte-level vocabularies write bytes from 128 on: the byte's own, or, for those that do not print, the next free from 256 on.
+_BYTE_SIGNS = {b: 256 + 34 + i for i, b in enumerate([*range(128, 161), 173])}
 #: Pieces kept by one worker; a full cache is emptied, so memory is bounded.
-CACHE_PIECES = 800_000
+CACHE_PIECES = 1_000_000
 #: Words handed to the library as one text.
-_TOGETHER = 64
+_TOGETHER = 32
 _held: dict[str, "WordEncoder"] = {}
 
 
@@ -34,55 +36,66 @@ class WordEncoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = t = Tokenizer.from_file(path)
         t.encode_special_tokens = True
+        # the same merges without the splitting that plain words do not need
+        self.merges = Tokenizer(t.model)
+        self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.folds = t.encode("A", add_special_tokens=False).ids == t.encode("a", add_special_tokens=False).ids
         names = [t.id_to_token(i) or "" for i in range(t.get_vocab_size())]
         self.opens = np.array([n.startswith("Ġ") for n in names])
         self.closes = np.array([n.endswith("</w>") for n in names])
+        self.ends_words = bool(self.closes.any())
+        self.before = "" if self.ends_words else "Ġ"
         self._empty()
 
     def _empty(self) -> None:
         self.unit: dict[str, int] = {"": 0}
         self.flat, self.used = np.zeros(1 << 16, "<u4"), 0
-        self.start, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.start, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32)
 
     def library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of plain words (each with its space before it), many to a call of the library."""
-        out: list[np.ndarray] = []
-        groups = [words[i : i + _TOGETHER] for i in range(0, len(words), _TOGETHER)]
-        for group, ids in zip(groups, self.library(["".join(g) for g in groups])):
-            ends = np.flatnonzero(self.closes[ids]) + 1 if self.closes.any() else np.append(np.flatnonzero(self.opens[ids])[1:], len(ids))
-            out += np.split(ids, ends[:-1]) if len(ends) == len(group) else self.library(group)
-        return out
-
-    def _keep(self, keys: list[str], ids: list[np.ndarray]) -> None:
-        if not keys:
-            return
-        first, lens = len(self.unit), np.array([len(x) for x in ids], np.int64)
-        more, total = first + len(keys), int(lens.sum())
-        while self.used + total > len(self.flat):
+    def _signs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some texts one after another, and how many each has."""
+        ids = self.library(texts)
+        return np.concatenate(ids), np.array([len(x) for x in ids], np.int64)
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As _signs, for plain words (each with its space before it): many go to the library as one text."""
+        own = [(w if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_SIGNS)).replace(" ", self.before) for w in words]
+        groups = [" ".join(own[i : i + _TOGETHER]) for i in range(0, len(own), _TOGETHER)]
+        ids = np.concatenate([np.array(e.ids, dtype="<u4") for e in self.merges.encode_batch_fast(groups, add_special_tokens=False)])
+        ends = np.flatnonzero(self.closes[ids]) + 1 if self.ends_words else np.append(np.flatnonzero(self.opens[ids])[1:], len(ids))
+        return (ids, np.diff(ends, prepend=0)) if len(ends) == len(words) else self._signs(words)
+
+    def _keep(self, keys: list[str], ids: np.ndarray, lens: np.ndarray) -> None:
+        first = len(self.unit)
+        more = first + len(keys)
+        while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while more > len(self.start):
             self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
-        self.flat[self.used : self.used + total] = np.concatenate(ids)
+        self.flat[self.used : self.used + len(ids)] = ids
         self.size[first:more] = lens
         self.start[first:more] = self.used + np.cumsum(lens) - lens
-        self.used += total
+        self.used += len(ids)
         self.unit.update(zip(keys, range(first, more)))
 
     def _units(self, keys: pa.Array, encode, clean=lambda keys: keys) -> np.ndarray:
         """The unit of each key; those not met before are encoded."""
         coded = keys.dictionary_encode()
         names = coded.dictionary.to_pylist()
-        if missing := [k for k in names if k not in self.unit]:
-            self._keep(missing, encode(clean(missing)))
-        return np.fromiter(map(self.unit.__getitem__, names), np.int64, len(names))[coded.indices.to_numpy(zero_copy_only=False)]
+        units = np.array([-1 if u is None else u for u in map(self.unit.get, names)], np.int64)
+        new = np.flatnonzero(units < 0)
+        if len(new):
+            missing = [names[i] for i in new.tolist()]
+            units[new] = np.arange(len(self.unit), len(self.unit) + len(new))
+            self._keep(missing, *encode(clean(missing)))
+        return units[coded.indices.to_numpy(zero_copy_only=False)]
 
     def _gather(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a row of units, and where each unit's end."""
@@ -101,11 +114,11 @@ class WordEncoder:
             known = parts.filter(pa.array(plain))
             a, b = known.field("a"), known.field("b")
             units[plain, 0] = self._units(pc.binary_join_element_wise(" ", pc.utf8_lower(a) if self.folds else a, ""), self._words)
-            units[plain, 1] = self._units(b, self.library)
+            units[plain, 1] = self._units(b, self._signs)
         if not plain.all():
             # the line end keeps such keys apart from plain words
             rest = pc.binary_join_element_wise("\n", words.filter(pa.array(~plain)), "")
-            units[~plain, 0] = self._units(rest, self.library, lambda keys: [" " + k[1:] for k in keys])
+            units[~plain, 0] = self._units(rest, self._signs, lambda keys: [" " + k[1:] for k in keys])
         ids, ends = self._gather(units.ravel())
         return ids, ends[1::2]
 
