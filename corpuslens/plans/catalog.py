@@ -30,7 +30,7 @@ s as (select unit, v, cast(row_number() over (partition by unit order by ts, eve
 
 PLANS: dict[str, str] = {
     # term statistics
-    "ag1_term_frequency": BASE + "select doc_id, token, tf from tf where token like 'th%'",
+    "ag1_term_frequency": BASE + "select doc_id, token, tf from tf",
     "ag2_document_frequency": BASE + "select token, df, round(idf, 9) idf from idf",
     "ag2_corpus_statistics": BASE + "select n, round(avgdl, 9) avgdl from st",
     "ag5_champion_lists": BASE + "select token, doc_id, tf, k from (select t.token, t.doc_id, t.tf, cast(row_number() over (partition by t.token order by round(t.tf / (t.tf + 0.54 + 0.36 * dl.dl / st.avgdl), 9) desc, t.doc_id) as bigint) k from tf t join dl on dl.doc_id = t.doc_id cross join st) x where k <= 5",
@@ -40,7 +40,7 @@ PLANS: dict[str, str] = {
     "f3_frequency_cap": BASE + "select token, df from df cross join st where df <= 0.5 * n",
     "f5_vocabulary_bounds": BASE + "select token, df from df where df between 3 and 40",
     "c1_gap_bits": BASE + "select token, cast(sum(bits) as bigint) bits from (select token, case when gap <= 1 then 1 else floor(log2(gap)) + 1 end bits from (select token, doc_id - coalesce(lag(doc_id) over (partition by token order by doc_id), -1) gap from tf) g) x group by 1",
-    "d6_delta_coding": BASE + "select token, doc_id, cast(doc_id - lag(doc_id, 1, 0) over (partition by token order by doc_id) as bigint) gap from tf where token like 'on%'",
+    "d6_delta_coding": BASE + "select token, doc_id, cast(doc_id - lag(doc_id, 1, 0) over (partition by token order by doc_id) as bigint) gap from tf",
     "c2_vbyte_length": BASE + "select tf, cast(count(*) as bigint) n, case when tf < 128 then 1 when tf < 16384 then 2 else 3 end bytes from tf group by tf",
     # scoring plans
     "r21_score_parts": BASE + "select q.qid, t.doc_id, t.token, t.tf, round(i.idf * q.qw * 1.9 * t.tf / (t.tf + 0.54 + 0.36 * dl.dl / st.avgdl), 9) part from rk r join qt q on q.qid = r.qid join tf t on t.doc_id = r.doc_id and t.token = q.token join idf i on i.token = t.token join dl on dl.doc_id = t.doc_id cross join st where r.rank = 1 and i.idf >= 0.3",
@@ -50,12 +50,12 @@ PLANS: dict[str, str] = {
     "r12_pseudo_feedback": BASE + ", ex as (select qid, token, c, w from (select r.qid, t.token, count(*) c, count(*) * max(i.idf) w, row_number() over (partition by r.qid order by round(count(*) * max(i.idf), 9) desc, t.token) k from rk r join tf t on t.doc_id = r.doc_id join idf i on i.token = t.token left join qt q on q.qid = r.qid and q.token = t.token where r.rank <= 10 and i.idf >= 3 and q.token is null group by 1, 2 having count(*) >= 2) x where k <= 40) select qid, token, cast(c as bigint) c, round(w, 9) w from ex",
     "r34_rarest_pool": BASE + "select qid, token, df, upto from (select q.qid, q.token, i.df, cast(sum(i.df) over (partition by q.qid order by i.df, q.token rows between unbounded preceding and current row) as bigint) upto, row_number() over (partition by q.qid order by i.df, q.token) k from qt q join idf i on i.token = q.token) x where upto <= 200 or k = 1",
     "r42_multi_hop": BASE + ", hop as (select qid, token from (select r.qid, t.token, row_number() over (partition by r.qid order by i.df, t.token) k from rk r join tf t on t.doc_id = r.doc_id join idf i on i.token = t.token left join qt q on q.qid = r.qid and q.token = t.token where r.rank <= 3 and i.df between 2 and 50 and q.token is null) x where k = 1) select h.qid, h.token, t.doc_id from hop h join tf t on t.token = h.token left join (select qid, doc_id from rk where rank <= 3) s on s.qid = h.qid and s.doc_id = t.doc_id where s.qid is null",
-    "r44_completeness_audit": BASE + "select t.token, t.doc_id from tf t join {documents} d on d.doc_id = t.doc_id where t.token like 'thing%' and not contains(lower(d.text), t.token)",
+    "r44_completeness_audit": "select distinct token, doc_id from (select doc_id, lower(text) low, {explode:regexp_extract_all(lower(text), '([a-z0-9]+)', 1)} token from {documents}) x where not contains(low, token)",
     "r6_sharded_topk": BASE + ", own as (select qid, doc_id, score, row_number() over (partition by qid, doc_id % 4 order by round(score, 9) desc, doc_id) k from bm) select qid, doc_id, rank from (select qid, doc_id, cast(row_number() over (partition by qid order by round(score, 9) desc, doc_id) as bigint) rank from own where k <= 10) x where rank <= 10",
     "r7_removed_documents": BASE + "select token, cast(count(*) as bigint) df from tf t left join (select doc_id gone from {labels} where toxic = 1) g on g.gone = t.doc_id where g.gone is null group by 1",
     "j3_three_way_meet": BASE + ", r3 as (select qid, token from (select q.qid, q.token, row_number() over (partition by q.qid order by i.df, q.token) k from qt q join idf i on i.token = q.token) x where k <= 3) select r.qid, t.doc_id from r3 r join tf t on t.token = r.token group by 1, 2 having count(distinct t.token) = 3",
     "j10_pool_semi_join": BASE + "select b.qid, b.doc_id, round(b.score, 6) score from bm b where exists (select 1 from {labels} l where l.doc_id = b.doc_id and l.quality = 1) and b.m >= 8",
-    "j17_substring_join": BASE + "select q.token q, d.token v from (select distinct token from qt where length(token) between 5 and 9) q join (select token from df where df >= 40 and length(token) >= 4) d on q.token <> d.token and (contains(d.token, q.token) or contains(q.token, d.token))",
+    "j17_substring_join": BASE + ", q as (select distinct token from qt where length(token) >= 4), v as (select token from df where length(token) >= 4), qs as (select distinct token, {explode:SUBS} part from q), vs as (select distinct token, {explode:SUBS} part from v) select qs.token q, v.token v from qs join v on v.token = qs.part where qs.token <> v.token union select q.token q, vs.token v from q join vs on vs.part = q.token where q.token <> vs.token",
     "e11_discrimination": BASE + ", r3 as (select qid, token, k from (select q.qid, q.token, row_number() over (partition by q.qid order by i.df, q.token) k from qt q join idf i on i.token = q.token) x where k <= 3), m as (select r.qid, t.doc_id, count(*) c, max(k) k from r3 r join tf t on t.token = r.token group by 1, 2) select n, cast(count(*) as bigint) docs, cast(count(rel.doc_id) as bigint) gold from m join {series:1,3} s(n) on m.c >= s.n left join rel on rel.qid = m.qid and rel.doc_id = m.doc_id group by n",
     "e13_overlap_histogram": BASE + "select b.m, cast(count(*) as bigint) n from rel join bm b on b.qid = rel.qid and b.doc_id = rel.doc_id group by 1",
     "e7_pair_quality": BASE + ", found as (select qid, doc_id from rk where rank = 1) select cast(count(*) as bigint) pairs, cast(count(f.doc_id) as bigint) found, cast(count(r.doc_id) as bigint) relevant, cast(sum(case when f.doc_id is not null and r.doc_id is not null then 1 else 0 end) as bigint) hits from found f full outer join rel r on r.qid = f.qid and r.doc_id = f.doc_id",
@@ -69,13 +69,13 @@ PLANS: dict[str, str] = {
     "ag31_stored_composites": BASE + ", t8 as (select doc_id, token, w from (select t.doc_id, t.token, t.tf * i.idf w, row_number() over (partition by t.doc_id order by round(t.tf * i.idf, 9) desc, t.token) k from tf t join idf i on i.token = t.token where i.df >= 2) x where k <= 8) select doc_id, a, b from (select x.doc_id, x.token a, y.token b, row_number() over (partition by x.doc_id order by round(least(x.w, y.w), 9) desc, x.token, y.token) k from t8 x join t8 y on x.doc_id = y.doc_id and x.token < y.token) z where k <= 12",
     "r43_shared_rare_jaccard": BASE + ", sg as (select doc_id, token from (select t.doc_id, t.token, row_number() over (partition by t.doc_id order by i.df, t.token) k from tf t join idf i on i.token = t.token where i.df >= 2) x where k <= 4), cand as (select distinct a.doc_id a, b.doc_id b from sg a join sg b on a.token = b.token and a.doc_id < b.doc_id), sz as (select doc_id, count(*) n from tf group by 1), sh as (select c.a, c.b, count(*) k from cand c join tf x on x.doc_id = c.a join tf y on y.doc_id = c.b and y.token = x.token group by 1, 2) select a, b, round(k * 1.0 / (x.n + y.n - k), 9) jaccard from sh join sz x on x.doc_id = a join sz y on y.doc_id = b where k * 1.0 / (x.n + y.n - k) >= 0.8",
     # words and co-occurrence
-    "tx1_content_words": "select doc_id, pos, token from {words:documents,doc_id,text} w where pos < 20",
+    "tx1_content_words": "select doc_id, pos, token from {words:documents,doc_id,text} w",
     "tx3_head_weights": "with w as {words:documents,doc_id,text} select doc_id, token, round(sum(case when pos < 14 then 1.6 else 1.0 end), 6) tf from w group by 1, 2",
     "tx2_prefix_view": "with w as {words:documents,doc_id,text} select doc_id, left(token, 4) token, round(count(*) * 0.2, 6) tf from w where length(token) >= 4 group by 1, 2",
     "tx2_trigram_view": "with w as {words:benchmark,item_id,text}, g as (select item_id, {explode:{grams}} token from w) select item_id, token, round(count(*) * 0.3, 6) tf from g group by 1, 2".replace("{explode:{grams}}", "GRAMS"),
     "tx10_fixed_chunks": "with w as (select distinct token from {words:benchmark,item_id,text} x), c as (select token, CHUNKS part from w) select part, cast(count(*) as bigint) n from c group by 1",
     "tx16_bigram_stream": "with t as {tok:documents,doc_id,text}, b as (select token a, lead(token) over (partition by doc_id order by pos) b from t) select a, b, cast(count(*) as bigint) n from b where b is not null group by 1, 2 having count(*) >= 3",
-    "tx17_window_pairs": "with t as {tok:benchmark,item_id,text} select least(a.token, b.token) a, greatest(a.token, b.token) b, cast(count(*) as bigint) n from t a join t b on a.item_id = b.item_id and b.pos between a.pos + 1 and a.pos + 7 where a.token <> b.token group by 1, 2",
+    "tx17_window_pairs": "with t as {tok:documents,doc_id,text}, n as (select doc_id, token a, " + ", ".join(f"lead(token, {k}) over (partition by doc_id order by pos) l{k}" for k in range(1, 8)) + " from t), p as (select a, case k.i " + " ".join(f"when {k} then l{k}" for k in range(1, 8)) + " end b from n cross join {series:1,7} k) select least(a, b) a, greatest(a, b) b, cast(count(*) as bigint) n from p where b is not null and a <> b group by 1, 2",
     "ag6_cooccurrence": CONTENT + "select a, b, c from pairs where c >= 4",
     "ag10_pmi_graph": CONTENT + "select a, b, c, round(pmi, 9) pmi from (select p.a, p.b, p.c, ln((nd.n * p.c + 1.0) / (x.df * y.df + 1.0)) pmi, row_number() over (partition by p.a order by round(ln((nd.n * p.c + 1.0) / (x.df * y.df + 1.0)), 9) desc, p.b) k from pairs p join df x on x.token = p.a join df y on y.token = p.b cross join nd where p.c >= 3) z where pmi > 0 and k <= 10",
     "ag8_ppmi": CONTENT + "select p.a, p.b, round(greatest(0.0, log2(p.c * 1.0 * nd.n / (x.df * y.df))), 9) ppmi from pairs p join df x on x.token = p.a join df y on y.token = p.b cross join nd where p.c >= 3",
@@ -96,7 +96,7 @@ PLANS: dict[str, str] = {
     "w5_sustained_crossing": SENSOR + ", t as (select unit, avg(v) m from s group by 1), f as (select s.unit, s.i, case when s.v > t.m then 1 else 0 end hit from s join t on t.unit = s.unit), g as (select unit, i, hit, sum(hit) over (partition by unit order by i rows between current row and 4 following) h from f) select unit, min(i) first_at from g where hit = 1 and h >= 3 group by 1",
     "w8_corroboration": SENSOR + ", z as (select unit, i, case when v > avg(v) over (partition by unit) then 1 else 0 end a, case when v > lag(v) over (partition by unit order by i) then 1 else 0 end b, case when v > avg(v) over (partition by unit order by i rows between 4 preceding and current row) then 1 else 0 end c from s) select unit, cast(sum(case when a + b + c >= 2 then 1 else 0 end) as bigint) agreed, cast(sum(case when a + b + c = 1 then 1 else 0 end) as bigint) lone from z group by 1",
     "w9_longest_run": SENSOR + ", f as (select unit, i, v > avg(v) over (partition by unit) hit from s), r as (select unit, i, i - row_number() over (partition by unit order by i) g from f where hit), q as (select unit, g, cast(count(*) as bigint) n, min(i) first_at from r group by 1, 2) select unit, n longest, first_at from (select *, row_number() over (partition by unit order by n desc, first_at) k from q) x where k = 1",
-    "w10_peer_excess": SENSOR + ", p as (select unit, i, v, (sum(v) over (partition by i) - v) / nullif(count(*) over (partition by i) - 1, 0) peers from s) select unit, i, round(v - peers, 6) excess from p where peers is not null",
+    "w10_peer_excess": SENSOR + ", p as (select unit, i, v, (sum(v) over (partition by i) - v) / nullif(count(*) over (partition by i) - 1, 0) peers from s) select unit, i, round(v - peers, 9) excess from p where peers is not null",
     "w12_running_peak": SENSOR + "select unit, i, round(max(v) over (partition by unit order by i rows between unbounded preceding and current row), 9) peak from s",
     "w13_interpolation": SENSOR + "select unit, i, round((v + lead(v) over (partition by unit order by i)) / 2, 9) mid from s",
     "w15_dft_bin": SENSOR + ", n as (select unit, count(*) n from s group by 1) select s.unit, k.i k, round(sqrt(pow(sum(s.v * cos(2 * pi() * k.i * (s.i - 1) / n.n)), 2) + pow(sum(s.v * sin(2 * pi() * k.i * (s.i - 1) / n.n)), 2)), 4) size from s join n on n.unit = s.unit cross join {series:1,3} k group by 1, 2",
@@ -112,7 +112,7 @@ PLANS: dict[str, str] = {
     "m12_wings": "select p.i p, n.i n, w.i wing, case when w.i % 2 = 0 then p.i + n.i else p.i end * case when w.i in (2, 3, 6, 7) then -1 else 1 end x, case when w.i % 2 = 0 then p.i else p.i + n.i end * case when w.i in (1, 3, 5, 7) then -1 else 1 end y, case when w.i >= 4 then -1 else 1 end * (p.i + n.i) z from {series:3,15} p cross join {series:1,9} n cross join {series:0,7} w",
     "m15_meet_codec": "select a.i a, b.i b, a.i + b.i x, least(a.i, b.i) y, least(a.i, b.i) lo, a.i + b.i - least(a.i, b.i) hi from {series:1,60} a cross join {series:1,60} b where a.i < b.i",
     "m18_quantised_cells": "select vec_id, cast(floor(embedding[C0] * 4 + 0.5) as bigint) x, cast(floor(embedding[C1] * 4 + 0.5) as bigint) y, cast(floor(embedding[C2] * 4 + 0.5) as bigint) z from {embeddings}",
-    "j11_cell_neighbours": "with c as (select vec_id, cast(floor(embedding[C0] * 4 + 0.5) as bigint) x, cast(floor(embedding[C1] * 4 + 0.5) as bigint) y, cast(floor(embedding[C2] * 4 + 0.5) as bigint) z from {embeddings}), q as (select vec_id q, x + a.i x, y + b.i y, z + d.i z from c cross join {series:-1,1} a cross join {series:-1,1} b cross join {series:-1,1} d where vec_id % 25 = 0) select q.q, cast(count(*) as bigint) n from q join c on c.x = q.x and c.y = q.y and c.z = q.z group by 1",
+    "j11_cell_neighbours": "with c as (select vec_id, cast(floor(embedding[C0] * 4 + 0.5) as bigint) x, cast(floor(embedding[C1] * 4 + 0.5) as bigint) y, cast(floor(embedding[C2] * 4 + 0.5) as bigint) z from {embeddings}), q as (select vec_id q, x + a.i x, y + b.i y, z + d.i z from c cross join {series:-1,1} a cross join {series:-1,1} b cross join {series:-1,1} d) select q.q, cast(count(*) as bigint) n from q join c on c.x = q.x and c.y = q.y and c.z = q.z group by 1",
     "m22_pi_recurrence": "{recursive} r(k, n, side) as (select 0, 6.0e0, 1.0e0 union all select k + 1, n * 2, sqrt(2 - sqrt(4 - side * side)) from r where k < 10) select k, round(n * side / 2, 9) pi from r",
     "m23_cone_volume": "select round(sum(pi() * pow(i / 1000.0, 2) / 1000.0), 9) volume from {series:1,1000} s",
     "m25_mixed_radix": "select i n, i % 2 d2, floor(i / 2) % 3 d3, floor(i / 6) % 5 d5, floor(i / 30) % 7 d7 from {series:0,209} s",
@@ -140,6 +140,7 @@ def sql_of(name: str, dialect: str, sf_dir: str = "") -> str:
         text = text.replace(f"[C{k}]", f"[{k + duck}]")
     marked = "concat(concat('^', token), '$')"
     text = text.replace("GRAMS", "unnest(list_transform(generate_series(1, length(token)), lambda i: substring(concat('^', token, '$'), i, 3)))" if duck else f"explode(transform(sequence(1, length(token)), i -> substring({marked}, i, 3)))")
+    text = text.replace("SUBS", "list_distinct(flatten(list_transform(generate_series(4, length(token)), lambda n: list_transform(generate_series(1, length(token) - n + 1), lambda i: substring(token, i, n)))))" if duck else "array_distinct(flatten(transform(sequence(4, length(token)), n -> transform(sequence(1, length(token) - n + 1), i -> substring(token, i, n)))))")
     text = text.replace("CHUNKS", "unnest(regexp_extract_all(token, '(..?.?.?)', 1))" if duck else "explode(regexp_extract_all(token, '(..?.?.?)', 1))")
     text = text.replace("{explode:GRAM1}", "unnest(string_split(token, ''))" if duck else "explode(split(token, ''))")
     return render(text, dialect, sf_dir)

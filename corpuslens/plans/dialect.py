@@ -51,4 +51,7 @@ def render(sql: str, dialect: str, sf_dir: str = "") -> str:
         raise KeyError(name)
 
     sql = re.sub(r"(?<![\w.'])(\d+\.\d+)(?![\w.])", r"\1e0", sql)  # doubles, not decimals
-    return re.sub(r"\{([a-z]+(?::[^{}]*)?)\}", macro, sql)
+    inner = re.compile(r"\{([a-z]+(?::[^{}]*)?)\}")
+    while inner.search(sql):  # a macro may hold others
+        sql = inner.sub(macro, sql)
+    return sql
