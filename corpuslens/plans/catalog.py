@@ -131,11 +131,10 @@ PLANS: dict[str, str] = {
 }
 
 
-def sql_of(name: str, dialect: str, sf_dir: str = "") -> str:
+def sql_of(text: str, dialect: str, sf_dir: str = "") -> str:
     from .dialect import render
 
     duck = dialect == "duckdb"
-    text = PLANS[name]
     for k in range(3):
         text = text.replace(f"[C{k}]", f"[{k + duck}]")
     marked = "concat(concat('^', token), '$')"

@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 from corpuslens.functions.text import plain_tokens, stem
 from corpuslens.operators import evaluation, retrieval
 
-from .catalog import BASE, PLANS, sql_of
+from .catalog import BASE, sql_of
+from .catalog import PLANS as CATALOG
 from .dialect import render
+from .extra import PLANS as EXTRA
+
+PLANS = CATALOG | EXTRA
 
 
 def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -102,11 +106,11 @@ _FRAMES = (r1_bm25_topk, r9_tfidf_topk, e1_ranking_metrics, fu2_rank_fusion, fu1
 
 
 def _plan(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: spark.sql(sql_of(name, "spark", sf_dir))
+    return lambda spark, sf_dir: spark.sql(sql_of(PLANS[name], "spark", sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _FRAMES} | {n: _plan(n) for n in PLANS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {n: render(s, "duckdb") for n, s in _DUCK.items()} | {n: sql_of(n, "duckdb") for n in PLANS}
+    return {n: render(s, "duckdb") for n, s in _DUCK.items()} | {n: sql_of(PLANS[n], "duckdb") for n in PLANS}
