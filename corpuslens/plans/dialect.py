@@ -42,6 +42,8 @@ def render(sql: str, dialect: str, sf_dir: str = "") -> str:
         if name == "grams":  # runs of args[1] signs of expression args[0]
             e, n = args
             return f"list_transform(generate_series(1, greatest(length({e}) - {n} + 1, 0)), lambda i: substring({e}, i, {n}))" if duck else f"case when length({e}) < {n} then array() else transform(sequence(1, length({e}) - {n} + 1), i -> substring({e}, i, {n})) end"
+        if name == "sorted":  # the signs of a word in order
+            return f"list_aggregate(list_sort(string_split({rest}, '')), 'string_agg', '')" if duck else f"array_join(array_sort(split({rest}, '')), '')"
         if name == "explode":
             return f"unnest({rest})" if duck else f"explode({rest})"
         if name == "micros":

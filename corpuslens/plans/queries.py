@@ -14,8 +14,9 @@ from .catalog import BASE, sql_of
 from .catalog import PLANS as CATALOG
 from .dialect import render
 from .extra import PLANS as EXTRA
+from .more import PLANS as MORE
 
-PLANS = CATALOG | EXTRA
+PLANS = CATALOG | EXTRA | MORE
 
 
 def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

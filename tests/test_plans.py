@@ -41,3 +41,8 @@ def test_matches_sql(spark, duck, small, name):
     at = [names.index(c) for c in cols]
     assert sorted(names) == cols
     assert got == sorted((tuple(plain(r[i]) for i in at) for r in cur.fetchall()), key=repr)
+
+
+def test_pair_canon_known_addresses(spark, small):
+    r = QUERIES["m10_pair_canon"](spark, small).where("a = 3 and p = 11 and n = 5").first()
+    assert [(r[f"x{i}"], r[f"y{i}"], r["z"]) for i in (1, 2, 3, 4)] == [(16, 5, 19), (22, -5, 19), (14, -3, 19), (24, 3, 19)]
