@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Stop words that the word view leaves out.
 STOP_WORDS = "the a an of in on for to and or is are was were be been being this that these those it its as at by with from into not no can could may might will would should we our their they he she his her which who what when where how than then such also using used use one two".split()
@@ -38,3 +40,9 @@ def stem(word: Column) -> Column:
     bare = F.when((n > 5) & word.endswith("ing"), cut(3)).when((n > 4) & word.endswith("ed"), cut(2))
     undoubled = F.when(bare.rlike("([b-df-hj-km-np-rtv-xz])\\1$"), F.left(bare, F.length(bare) - 1)).otherwise(bare)
     return F.coalesce(plural, undoubled, word)
+
+
+@F.pandas_udf(StringType())
+def nfkc(text: pd.Series) -> pd.Series:
+    """Unicode NFKC; nulls stay. Spark has no such function, so Arrow batches carry the texts."""
+    return text.str.normalize("NFKC")

@@ -53,6 +53,7 @@ PLANS: dict[str, str] = {
     "tx19_word_records": BASE + "select t.token, cast(length(t.token) as bigint) chars, cast(ascii(t.token) as bigint) head, cast(ascii(right(t.token, 1)) as bigint) tail, i.df, cast(sum(t.tf) as bigint) n from tf t join idf i on i.token = t.token group by t.token, i.df",
     "tx20_token_states": BASE + "select token, case when df * 2 > n then 0 when df >= 3 then 3 when df = 2 then 2 else 1 end state from df cross join st",
     "tp18_bit_pairs": BASE + "select b.i place, cast(floor(t.tf / power(4, b.i)) as bigint) % 4 state, cast(count(*) as bigint) n from tf t cross join {series:0,3} b group by 1, 2",
+    "d3_json_records": BASE + "select token, {json:token,df} record from df",
     # statistics
     "ag14_promoted_pieces": PIECES + "select g, words, docs, cast(row_number() over (partition by length(g) order by words desc, docs desc, g) as bigint) rank from ps where words >= 3 and docs >= 2 and n >= 5",
     "ag15_context_divergence": CONTEXTS + "select token, round(min(jaccard), 9) least, case when min(jaccard) < 0.2 then 1 else 0 end differ from jac group by 1",
@@ -86,6 +87,9 @@ PLANS: dict[str, str] = {
     "tp15_rare_cages": BASE + ", s as (select doc_id, token from (select t.doc_id, t.token, row_number() over (partition by t.doc_id order by i.df, t.token) k from tf t join idf i on i.token = t.token where i.df between 2 and 50) x where k <= 4) select a.token a, b.token b, c.token c, cast(count(*) as bigint) docs from s a join s b on b.doc_id = a.doc_id and a.token < b.token join s c on c.doc_id = a.doc_id and b.token < c.token group by 1, 2, 3",
     "tp19_hub_signatures": CONTENT + ", st as (select token, count(*) deg, sum(c) s from (select a token, c from pairs union all select b, c from pairs) x group by 1) select doc_id, token, cast(k as bigint) k, s from (select t.doc_id, t.token, cast(st.s as bigint) s, row_number() over (partition by t.doc_id order by st.s desc, t.token) k from top t join st on st.token = t.token) x where k <= 5",
     "tp26_document_reordering": BASE + ", r as (select doc_id, df, token from (select t.doc_id, t.token, i.df, row_number() over (partition by t.doc_id order by i.df, t.token) k from tf t join idf i on i.token = t.token where i.df >= 2) x where k = 1), o as (select doc_id, row_number() over (order by df, token, doc_id) fresh, row_number() over (order by doc_id) old from r), g as (select old - lag(old, 1, 0) over (partition by t.token order by old) before_gap, fresh - lag(fresh, 1, 0) over (partition by t.token order by fresh) after_gap from tf t join o on o.doc_id = t.doc_id) select cast(sum(floor(log2(before_gap)) + 1) as bigint) before_bits, cast(sum(floor(log2(after_gap)) + 1) as bigint) after_bits, cast(count(*) as bigint) postings from g",
+    "tp3_piece_meets": PIECES + "select p.g, a.g a, b.g b, p.words, p.docs, least(a.docs, b.docs) meet from ps p join ps a on a.g = left(p.g, 2) join ps b on b.g = right(p.g, 2) where length(p.g) = 4 and p.words >= 3 and p.docs >= 2 and a.words >= 3 and b.words >= 3",
+    "tp20_routed_corridors": BRIDGES + ", route as (select q.qid, case when min(i.df) <= 20 then 0.1 else 0.3 end w from qt q join idf i on i.token = q.token group by 1), lx as (select qid, doc_id, score / max(score) over (partition by qid) s from bm), bx as (select qid, doc_id, score / max(score) over (partition by qid) s from ex), f as (select coalesce(lx.qid, bx.qid) qid, coalesce(lx.doc_id, bx.doc_id) doc_id, coalesce(lx.s, 0.0) + route.w * coalesce(bx.s, 0.0) score from lx full join bx on lx.qid = bx.qid and lx.doc_id = bx.doc_id join route on route.qid = coalesce(lx.qid, bx.qid)) " + TOP10,
+    "g11_frequent_pairs": "with u as (select distinct user_id, event_type from {events} where user_id is not null and event_type is not null) select a.event_type a, b.event_type b, cast(count(*) as bigint) support from u a join u b on b.user_id = a.user_id and a.event_type < b.event_type group by 1, 2 having count(*) >= 5",
     # words as symbols
     "tp2_symbol_paths": "with v as (select distinct token from {words:documents,doc_id,text} x), k as (select token, {sorted:token} path from v) select path, cast(count(*) as bigint) words, min(token) first_word from k group by 1",
     "tp5_unique_synthesis": "with v as (select distinct token from {words:documents,doc_id,text} x), l as (select token, {explode:{grams:token,1}} c from v), s as (select token, sum((ascii(c) - 96) * (ascii(c) - 96) + 2) total from l group by 1) select token, cast(total as bigint) total, case when count(*) over (partition by total) = 1 then 1 else 0 end is_unique from s",

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.functions.text import plain_tokens, stem
-from corpuslens.operators import evaluation, retrieval
+from corpuslens.functions.text import nfkc, plain_tokens, stem
+from corpuslens.operators import adaptive, evaluation, graph, retrieval
+from corpuslens.session import ship_package
 
-from .catalog import BASE, sql_of
+from .catalog import BASE, CONTENT, sql_of
 from .catalog import PLANS as CATALOG
 from .dialect import render
 from .extra import PLANS as EXTRA
@@ -88,7 +89,58 @@ def j19_dense_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.top_k(pairs, 5).select("qid", F.col("doc_id").alias("vec_id"), "rank", F.round("score", 6).alias("score"))
 
 
+def _word_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(sql_of(PLANS["ag6_cooccurrence"], "spark", sf_dir))
+
+
+def g1_theme_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.components(_word_links(spark, sf_dir).select("a", "b")).select(F.col("node").alias("word"), "root")
+
+
+def g3_cluster_hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.clusters(_word_links(spark, sf_dir)).groupBy("root", "hub").agg(F.count(F.lit(1)).alias("words"))
+
+
+def tp28_shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Between all regions and nations, over the tree that a root above the regions closes."""
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    region = spark.read.parquet(f"{sf_dir}/region.parquet")
+    up = nation.select(F.concat(F.lit("n"), "n_nationkey").alias("a"), F.concat(F.lit("r"), "n_regionkey").alias("b"), (F.col("n_nationkey") % 3 + 1).cast("long").alias("w"))
+    top = region.select(F.concat(F.lit("r"), "r_regionkey").alias("a"), F.lit("root").alias("b"), (F.col("r_regionkey") + 1).cast("long").alias("w"))
+    return graph.shortest_paths(up.union(top))
+
+
+def g12_conflict_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A slot for each benchmark item, so that no two in one slot share a word of the rarest hundredth."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("node"), "text")
+    words = items.select("node", F.explode(F.array_distinct(plain_tokens(F.col("text")))).alias("token"))
+    rare = words.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n between 2 and 4").select("token")
+    held = words.join(rare, "token")
+    clash = held.select("token", F.col("node").alias("a")).join(held.select("token", F.col("node").alias("b")), "token").where("a < b").select("a", "b")
+    return graph.greedy_colours(items.select("node"), clash).select(F.col("node").alias("item_id"), F.col("colour").alias("slot"))
+
+
+def w17_adaptive_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Control charts of all users' values, in the order of time and event."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("unit"), F.struct("ts", "event_id").alias("at"), "value")
+    return adaptive.alarms(events, k=1.0).select(F.col("unit").alias("user_id"), "at.event_id", F.round("fast", 6).alias("fast"), "alarm")
+
+
+def tx4_normalised_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    docs, _ = _tables(spark, sf_dir)
+    return docs.select("doc_id", nfkc(F.col("text")).alias("clean"), "text").select("doc_id", F.length("clean").cast("long").alias("chars"), F.xxhash64("clean").alias("hash"), (F.col("clean") != F.col("text")).alias("changed"))
+
+
+#: Queries that SQL does not express: a fold with state, a greedy walk, Unicode tables. Tests hold them against plain Python.
+WITHOUT_SQL = ("g12_conflict_schedule", "w17_adaptive_threshold", "tx4_normalised_text")
+
+REACH = CONTENT.replace("with w as", "with recursive w as", 1) + ", e as (select a, b, c from pairs where c >= 4), r(a, b) as (select a, b from (select a, b from e union select b, a from e) x union select r.a, y.b from r join (select a, b from e union select b, a from e) y on y.a = r.b), root as (select a word, least(a, min(b)) root from r group by a)"
+
 _DUCK: dict[str, str] = {
+    "g1_theme_clusters": REACH + " select word, root from root",
+    "g3_cluster_hubs": REACH + ", s as (select word, sum(c) w from (select a word, c from e union all select b, c from e) group by 1), h as (select root, word hub, count(*) over (partition by root) words, row_number() over (partition by root order by w desc, word) k from root join s using (word)) select root, hub, words from h where k = 1",
+    "tp28_shortest_paths": "with recursive up as (select 'n' || n_nationkey a, 'r' || n_regionkey b, cast(n_nationkey % 3 + 1 as bigint) w from nation union all select 'r' || r_regionkey, 'root', r_regionkey + 1 from region), e as (select a, b, w from up union all select b, a, w from up), p(a, b, w, n) as (select a, b, w, 1 from e union all select p.a, e.b, p.w + e.w, n + 1 from p join e on e.a = p.b where n < 4) select a, b, cast(min(w) as bigint) w from p where a <> b group by 1, 2",
     "r1_bm25_topk": BASE + "select qid, doc_id, rank, round(score, 6) score from rk where rank <= 10",
     "r9_tfidf_topk": BASE + ", s as (select q.qid, t.doc_id, sum(t.tf * (ln((n + 1) / (df.df + 1)) + 1)) score from qt q join tf t on t.token = q.token join df on df.token = q.token cross join st group by 1, 2) select qid, doc_id, rank, round(score, 6) score from (select *, row_number() over (partition by qid order by round(score, 9) desc, doc_id) rank from s) where rank <= 10",
     "e1_ranking_metrics": BASE + ", h as (select r.qid, sum(1 / log2(r.rank + 1)) dcg, count(*) hits, min(r.rank) first_hit from rk r join rel on rel.qid = r.qid and rel.doc_id = r.doc_id where r.rank <= 10 group by 1), n as (select qid, count(*) n from rel group by 1), i as (select qid, n, (select sum(1 / log2(g + 1)) from generate_series(1, least(n, 10)) t(g)) ideal from n) select i.qid, round(coalesce(dcg / ideal, 0), 6) ndcg, round(coalesce(hits / n, 0), 6) recall, round(coalesce(1 / first_hit, 0), 6) mrr, first_hit from i left join h on h.qid = i.qid",
@@ -103,7 +155,7 @@ _DUCK: dict[str, str] = {
     "j19_dense_similarity": "with p as (select q.vec_id qid, e.vec_id, list_dot_product(e.embedding::double[], q.embedding::double[]) s from embeddings e join embeddings q on q.vec_id % 50 = 0 and q.vec_id <> e.vec_id) select qid, vec_id, rank, round(s, 6) score from (select *, row_number() over (partition by qid order by round(s, 9) desc, vec_id) rank from p) where rank <= 5",
 }
 
-_FRAMES = (r1_bm25_topk, r9_tfidf_topk, e1_ranking_metrics, fu2_rank_fusion, fu1_additive_fusion, tx7_stems, j19_dense_similarity)
+_FRAMES = (r1_bm25_topk, r9_tfidf_topk, e1_ranking_metrics, fu2_rank_fusion, fu1_additive_fusion, tx7_stems, j19_dense_similarity, g1_theme_clusters, g3_cluster_hubs, tp28_shortest_paths, g12_conflict_schedule, w17_adaptive_threshold, tx4_normalised_text)
 
 
 def _plan(name: str) -> Callable[[SparkSession, str], DataFrame]:
