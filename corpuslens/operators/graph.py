@@ -70,3 +70,16 @@ def greedy_colours(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         if not fresh.limit(1).count():
             return done
         done = _cut(done.union(fresh))
+
+
+def reach(seeds: DataFrame, edges: DataFrame) -> DataFrame:
+    """node, round: all that can be learned from ``seeds`` (node) along ``edges`` (a, b; both ways) and the round that first brought it; ends when a round brings nothing new."""
+    both = _cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    fresh = _cut(seeds.select("node").where("node is not null").distinct().withColumn("round", F.lit(0)))
+    known, n = fresh, 0
+    while fresh.limit(1).count():
+        n += 1
+        found = fresh.select(F.col("node").alias("a")).join(both, "a").select(F.col("b").alias("node")).distinct()
+        fresh = _cut(found.join(known, "node", "left_anti").withColumn("round", F.lit(n)))
+        known = _cut(known.union(fresh))
+    return known

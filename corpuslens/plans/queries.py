@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.functions.text import nfkc, plain_tokens, stem
-from corpuslens.operators import adaptive, evaluation, graph, retrieval
+from corpuslens.operators import adaptive, evaluation, graph, latent, retrieval
 from corpuslens.session import ship_package
 
 from .catalog import BASE, CONTENT, sql_of
@@ -132,13 +132,29 @@ def tx4_normalised_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", nfkc(F.col("text")).alias("clean"), "text").select("doc_id", F.length("clean").cast("long").alias("chars"), F.xxhash64("clean").alias("hash"), (F.col("clean") != F.col("text")).alias("changed"))
 
 
-#: Queries that SQL does not express: a fold with state, a greedy walk, Unicode tables. Tests hold them against plain Python.
-WITHOUT_SQL = ("g12_conflict_schedule", "w17_adaptive_threshold", "tx4_normalised_text")
+def r53_latent_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = _tables(spark, sf_dir)
+    x, y = latent.vectors(docs, items.withColumnRenamed("item_id", "qid"), plain_tokens)
+    return retrieval.top_k(latent.rerank(_ranked(spark, sf_dir, 100), x, y), 10).select("qid", "doc_id", "rank", F.round("score", 6).alias("score"))
+
+
+def r56_saturated_learning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the words of the benchmark lead to along co-occurrences, until nothing new comes."""
+    _, items = _tables(spark, sf_dir)
+    seeds = items.select(F.explode(plain_tokens(F.col("text"))).alias("node"))
+    links = _word_links(spark, sf_dir)
+    linked = links.select(F.col("a").alias("node")).union(links.select("b"))
+    return graph.reach(seeds.join(linked.distinct(), "node", "left_semi"), links).select(F.col("node").alias("word"), F.col("round").cast("long").alias("round"))
+
+
+#: Queries that SQL does not express: a fold with state, a greedy walk, Unicode tables, principal axes. Tests hold them against plain Python.
+WITHOUT_SQL = ("g12_conflict_schedule", "w17_adaptive_threshold", "tx4_normalised_text", "r53_latent_rerank")
 
 REACH = CONTENT.replace("with w as", "with recursive w as", 1) + ", e as (select a, b, c from pairs where c >= 4), r(a, b) as (select a, b from (select a, b from e union select b, a from e) x union select r.a, y.b from r join (select a, b from e union select b, a from e) y on y.a = r.b), root as (select a word, least(a, min(b)) root from r group by a)"
 
 _DUCK: dict[str, str] = {
     "g1_theme_clusters": REACH + " select word, root from root",
+    "r56_saturated_learning": CONTENT.replace("with w as", "with recursive w as", 1) + ", e as (select a, b from pairs where c >= 4 union select b, a from pairs where c >= 4), r(word, round) as (select distinct token, 0 from {tok:benchmark,item_id,text} t where token in (select a from e) union select e.b, round + 1 from r join e on e.a = r.word where round < 12) select word, cast(min(round) as bigint) round from r group by 1",
     "g3_cluster_hubs": REACH + ", s as (select word, sum(c) w from (select a word, c from e union all select b, c from e) group by 1), h as (select root, word hub, count(*) over (partition by root) words, row_number() over (partition by root order by w desc, word) k from root join s using (word)) select root, hub, words from h where k = 1",
     "tp28_shortest_paths": "with recursive up as (select 'n' || n_nationkey a, 'r' || n_regionkey b, cast(n_nationkey % 3 + 1 as bigint) w from nation union all select 'r' || r_regionkey, 'root', r_regionkey + 1 from region), e as (select a, b, w from up union all select b, a, w from up), p(a, b, w, n) as (select a, b, w, 1 from e union all select p.a, e.b, p.w + e.w, n + 1 from p join e on e.a = p.b where n < 4) select a, b, cast(min(w) as bigint) w from p where a <> b group by 1, 2",
     "r1_bm25_topk": BASE + "select qid, doc_id, rank, round(score, 6) score from rk where rank <= 10",
@@ -155,7 +171,7 @@ _DUCK: dict[str, str] = {
     "j19_dense_similarity": "with p as (select q.vec_id qid, e.vec_id, list_dot_product(e.embedding::double[], q.embedding::double[]) s from embeddings e join embeddings q on q.vec_id % 50 = 0 and q.vec_id <> e.vec_id) select qid, vec_id, rank, round(s, 6) score from (select *, row_number() over (partition by qid order by round(s, 9) desc, vec_id) rank from p) where rank <= 5",
 }
 
-_FRAMES = (r1_bm25_topk, r9_tfidf_topk, e1_ranking_metrics, fu2_rank_fusion, fu1_additive_fusion, tx7_stems, j19_dense_similarity, g1_theme_clusters, g3_cluster_hubs, tp28_shortest_paths, g12_conflict_schedule, w17_adaptive_threshold, tx4_normalised_text)
+_FRAMES = (r1_bm25_topk, r9_tfidf_topk, e1_ranking_metrics, fu2_rank_fusion, fu1_additive_fusion, tx7_stems, j19_dense_similarity, g1_theme_clusters, g3_cluster_hubs, tp28_shortest_paths, g12_conflict_schedule, w17_adaptive_threshold, tx4_normalised_text, r53_latent_rerank, r56_saturated_learning)
 
 
 def _plan(name: str) -> Callable[[SparkSession, str], DataFrame]:

@@ -3,11 +3,12 @@ import re
 import unicodedata
 from pathlib import Path
 
+import numpy as np
 import pytest
 
 import corpuslens
-from corpuslens.functions.text import nfkc
-from corpuslens.operators import adaptive, graph
+from corpuslens.functions.text import nfkc, plain_tokens
+from corpuslens.operators import adaptive, graph, latent
 from corpuslens.plans.queries import QUERIES
 from corpuslens.sources import sinks
 from corpuslens.streaming import stateful
@@ -151,6 +152,28 @@ def test_sinks(spark, tmp_path):
     assert sorted(r.k for r in spark.read.parquet(str(tmp_path / "c")).collect()) == list(range(50))
 
 
+def test_reach_ends_when_nothing_is_new(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 3), (8, 9)], "a long, b long")
+    got = graph.reach(spark.createDataFrame([(1,), (None,)], "node long"), edges)
+    assert {tuple(r) for r in got.collect()} == {(1, 0), (2, 1), (3, 1), (4, 2)}
+
+
+def test_latent_vectors(spark):
+    """Inner products in the latent space are those on the leading axes of the covariance, by an eigendecomposition."""
+    rnd = random.Random(2)
+    docs = spark.createDataFrame([(i, " ".join(rnd.choices("abcdefgh", k=12)) if i else None) for i in range(40)], "doc_id long, text string")
+    x, y = latent.vectors(docs, docs.limit(5).withColumnRenamed("doc_id", "qid"), plain_tokens, features=32, axes=3)
+    full, _ = latent.vectors(docs, docs.limit(1).withColumnRenamed("doc_id", "qid"), plain_tokens, features=32, axes=32)
+    a = np.array([r.x for r in full.orderBy("doc_id").collect()])
+    values, axes = np.linalg.eigh(np.cov(a.T))
+    top = a @ axes[:, np.argsort(values)[::-1][:3]]
+    got = np.array([r.x for r in x.orderBy("doc_id").collect()])
+    assert np.allclose(got @ got.T, top @ top.T, atol=1e-8)
+    assert not got[0].any() and y.count() == 5
+    row = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0]), ([0.0, 0.0], [1.0, 1.0])], "x array<double>, y array<double>").select(latent.cosine("x", "y").alias("c")).collect()
+    assert [round(r.c, 6) for r in row] == [0.707107, 0.0]
+
+
 def test_normalised_text(spark):
     texts = ["ﬁne ２ café", None, ""]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(nfkc("t").alias("x")).collect()
