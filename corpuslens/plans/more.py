@@ -120,7 +120,6 @@ PLANS: dict[str, str] = {
     "tp16_widened_pins": "with c as (select p.i p, n.i n, p.i + n.i x, case when n.i >= p.i then p.i else n.i end y from {series:3,31} p cross join {series:1,40} n where p.i in (3, 5, 7, 11, 13, 17, 19, 23, 29, 31)), v as (select a.p pin, b.p witness, b.n - a.n velocity from c a join c b on b.x = a.x and b.y = a.y and a.p <> b.p) select pin, witness, cast(count(*) as bigint) meets, cast(min(velocity) as bigint) slowest from v group by 1, 2",
     "g10_lineage": "select c.c_custkey, cast(count(o.o_orderkey) as bigint) orders, n.n_name, r.r_name from {customer} c join {nation} n on n.n_nationkey = c.c_nationkey join {region} r on r.r_regionkey = n.n_regionkey left join {orders} o on o.o_custkey = c.c_custkey group by c.c_custkey, n.n_name, r.r_name",
     "g13_origin_tree": "{recursive} h(node, depth) as (select 0, 0 union all select h.node * 3 + k.i, depth + 1 from h join {series:1,3} k on 1 = 1 where depth < 5) select cast(node as bigint) node, cast(depth as bigint) depth, cast(case when node = 0 then -1 else floor((node - 1) / 3) end as bigint) parent from h",
-    "tx11_greedy_pieces": PIECES.replace("with dw", "{recursive} dw", 1) + ", ok as (select g from ps where words >= 20), v as (select distinct token from dw), st as (select v.token, s.i pos, case when s.i > length(v.token) - 1 then 1 when f.g is not null then 4 when t.g is not null then 3 when b.g is not null then 2 else 1 end step from v join {series:1,40} s on s.i <= length(v.token) left join ok f on f.g = substring(v.token, s.i, 4) left join ok t on t.g = substring(v.token, s.i, 3) left join ok b on b.g = substring(v.token, s.i, 2)), walk(token, pos, step) as (select token, pos, step from st where pos = 1 union all select st.token, st.pos, st.step from walk join st on st.token = walk.token and st.pos = walk.pos + walk.step) select substring(token, pos, step) piece, cast(count(*) as bigint) n, cast(count(distinct token) as bigint) words from walk group by 1",
     # sensors and audits
     "w14_envelope_bins": SENSOR + ", m as (select unit, avg(v) m, count(*) n from s group by 1), r as (select s.unit, s.i, abs(s.v - m.m) e, m.n from s join m on m.unit = s.unit where m.n >= 8) select unit, k.i bin, round(power(sum(e * cos(2.0 * pi() * k.i * r.i / n)), 2) + power(sum(e * sin(2.0 * pi() * k.i * r.i / n)), 2), 3) power from r cross join {series:1,4} k group by 1, 2",
     "w19_fused_diagnosis": SENSOR + ", b as (select unit, avg(v) m, stddev_pop(v) + 1e-9 sd from s group by 1), z as (select s.unit, s.i, (s.v - b.m) / b.sd z, (s.v - lag(s.v) over (partition by s.unit order by s.i)) / b.sd dz from s join b on b.unit = s.unit) select case when abs(z) > 1.5 and abs(dz) > 2 then 'both' when abs(z) > 1.5 then 'content' when abs(dz) > 2 then 'channel' else 'clear' end diagnosis, cast(count(*) as bigint) n, cast(count(distinct unit) as bigint) units from z group by 1",
