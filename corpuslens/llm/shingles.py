@@ -1,0 +1,168 @@
+"""Near-duplicates by the similarity of shingle sets, with no pair lost.
+
+Two sets of Jaccard similarity of at least ``LEAST`` share an element of their prefixes: the first
+``n - ceil(LEAST n) + 1`` elements of each in one order of all shingles. Any order is right; this one
+puts the shingles that are common in a sample of the corpus last, so that few unlike texts meet.
+Equal sets are one node. Nodes that share a prefix element are first compared with the smallest of
+them, so that a large group is joined without all its pairs; then those that are still in different
+components are compared with each other, on the whole sets. Similar sets share more of their prefixes
+than one element, the more the more equal their sizes are: pairs that share fewer are not compared.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import as_bytes, cut, map_columns
+from .components import roots
+from .simhash import _LOWER, SEED
+
+SHINGLE = 5
+#: Least similarity, as a fraction.
+LEAST = (4, 5)
+#: Documents that the order of shingles is taken from at about the most, and common shingles that it knows.
+SAMPLE_DOCS, COMMON = 10_000, 1 << 17
+#: Nodes whose sets are picked out by a broadcast; beyond it by a shuffle join.
+BROADCAST_NODES = 1_000_000
+#: Whether sets of n and m elements that share c elements of their prefixes can be similar: what they share beyond
+#: the prefixes is less than the larger of the two counts that the prefixes were cut by.
+ENOUGH = "{1} * least(n, m) >= {0} * greatest(n, m) and c > ceil({0} * (n + m) / ({0} + {1})) - greatest(ceil({0} * n / {1}), ceil({0} * m / {1}))".format(*LEAST)
+
+
+def shingle_set(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
+    """The distinct XXH64 of the text's shingles, sorted; a text of fewer words is one shingle."""
+    words = text.translate(_LOWER).split() if text else []
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    n, h = max(1, len(words) - size + 1), xxhash.xxh64_intdigest
+    last = ends[min(size, len(words)) - 1 :]
+    return np.unique(np.fromiter((h(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), last.tolist())), np.uint64, n))
+
+
+def node_of(s: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(s.tobytes(), SEED)).view(np.int64))
+
+
+def prefix(s: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """``common``: sorted hashes, with their ``rank`` from 1 for the rarest of them; all others come before."""
+    n = len(s)
+    p = n - -(-LEAST[0] * n // LEAST[1]) + 1 if n else 0
+    if not len(common):
+        return s[:p]
+    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+    return s[np.argsort(np.where(common[at] == s, rank[at], 0), kind="stable")[:p]]
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return LEAST[1] * both >= LEAST[0] * (len(a) + len(b) - both)
+
+
+def _common(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that most texts of a sample share, and their ranks."""
+    every = max(1, docs.count() // SAMPLE_DOCS)
+    some = docs.where(F.pmod(F.xxhash64(text), F.lit(every)) == 0).select(text).distinct()
+    sets = map_columns(some, lambda: lambda t: [pa.array([shingle_set(x).view(np.int64) for x in as_bytes(t)], pa.list_(pa.int64()))], [text], "h array<bigint>")
+    counts = sets.select(F.explode("h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    rows = counts.orderBy(F.col("n").desc(), "h").limit(COMMON).select("h").toArrow()  # bounded by the limit
+    h = rows.column("h").to_numpy().view(np.uint64)
+    rank = np.arange(len(h), 0, -1)
+    order = np.argsort(h)
+    return h[order], rank[order]
+
+
+def _shared(entries: DataFrame) -> DataFrame:
+    """h, node, n, pivot, m of elements that are in the prefix of more than one node; the pivot is the smallest, of size m."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # the element before, its node and size, its run's pivot with its size, and whether it has been given out
+        for b in batches:
+            if not b.num_rows:
+                continue
+            h, node, n = (b.column(k).to_numpy() for k in ("h", "node", "n"))
+            if last is not None:
+                h, node, n = (np.concatenate([[x], y]) for x, y in zip(last[:3], (h, node, n)))
+            new = np.concatenate([[True], h[1:] != h[:-1]])
+            first = np.flatnonzero(new)[np.cumsum(new) - 1]
+            pivot, m = node[first], n[first]
+            if last is not None:
+                pivot[h == last[0]], m[h == last[0]] = last[3:5]
+            out = ~new
+            out[:-1] |= ~new[1:]
+            if last is not None:
+                out[0] &= not last[5]
+            yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (h, node, n, pivot, m)], names=["h", "node", "n", "pivot", "m"])
+            last = (h[-1], node[-1], n[-1], pivot[-1], m[-1], bool(out[-1]))
+
+    return entries.repartition("h").sortWithinPartitions("h", "node").mapInArrow(run, "h bigint, node bigint, n bigint, pivot bigint, m bigint")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose sets are similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            a, c = (b.column(k).to_pylist() for k in ("a", "b"))
+            hit = pa.array([similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, c)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], names=["u", "v"]).filter(hit)
+
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("s").alias("b")), "v")
+    return both.select("u", "v", "a", "b").mapInArrow(run, "u bigint, v bigint")
+
+
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, component_id: the smallest doc_id reachable over pairs of similar texts, for every row.
+
+    A null doc_id belongs to its component, and is its id only if no doc_id in it is known. Texts without words are equal.
+    """
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    held = docs.sparkSession.sparkContext.broadcast(_common(docs, "text"))
+
+    def prefixes():
+        common, rank = held.value
+
+        def run(texts):
+            sets = [shingle_set(t) for t in as_bytes(texts)]
+            return pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([prefix(s, common, rank).view(np.int64) for s in sets], pa.list_(pa.int64()))
+
+        return run
+
+    def whole():
+        def run(texts):
+            sets = [shingle_set(t) for t in as_bytes(texts)]
+            return pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())
+
+        return run
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        pairs = cut(pairs)
+        wanted = cut(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
+        if not (n := wanted.count()):
+            return pairs
+        sets = map_columns(docs, whole, ["text"], "node bigint, s binary").join(F.broadcast(wanted) if n <= BROADCAST_NODES else wanted, "node", "left_semi")
+        return cut(_confirmed(pairs, cut(sets.dropDuplicates(["node"]))))
+
+    d = cut(map_columns(docs, prefixes, ["text"], "node bigint, n bigint, h array<bigint>", ["doc_id"]))
+    nodes = d.select("node", "n", "h").dropDuplicates(["node"])
+    shared = cut(_shared(nodes.select(F.explode("h").alias("h"), "node", "n")))
+    # of those pairs only a part of what they share is counted here, which may leave more to the second round
+    stars = shared.where("node != pivot").groupBy(F.col("node").alias("u"), F.col("pivot").alias("v"), "n", "m").agg(F.count(F.lit(1)).alias("c")).where(ENOUGH).select("u", "v")
+    first = confirmed(stars)
+    root = cut(roots(first))
+    of = cut(shared.join(root, "node", "left").select("h", "node", "n", F.coalesce("root", "node").alias("root")))
+    other = of.select("h", F.col("node").alias("v"), F.col("n").alias("m"), F.col("root").alias("other"))
+    rest = of.join(other, "h").where((F.col("root") != F.col("other")) & (F.col("node") > F.col("v"))).groupBy(F.col("node").alias("u"), "v", "n", "m").agg(F.count(F.lit(1)).alias("c")).where(ENOUGH).select("u", "v")
+    root = roots(first.unionByName(confirmed(rest)))
+    firsts = d.groupBy("node").agg(F.min("doc_id").alias("first"))
+    of = cut(firsts.join(root, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first"))
+    own = of.join(of.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("node", "component_id")
+    return d.select("doc_id", "node").join(own, "node").select("doc_id", "component_id")

@@ -1,0 +1,50 @@
+import corpus_pipeline as cp
+import numpy as np
+
+from corpuslens.llm import shingles
+
+
+def jaccard(a, b):
+    x, y = ({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
+    return len(x & y) / len(x | y)
+
+
+def test_stage_drops_planted_near_copies(spark, small):
+    """Copies with words changed here and there, of similarity 0.8 to 0.95, go; of lower similarity they stay."""
+    rng = np.random.default_rng(8)
+    rows, near, far = [], set(), set()
+    for k in range(60):
+        base = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+        rows.append((10 * k, " ".join(base), "en", "s", 1))
+        for j, changes in enumerate((2, 4, 5, 6, 9), 1):
+            copy = list(base)
+            for at in rng.choice(300, changes, replace=False):
+                copy[at] = f"x{rng.integers(10**9)}"
+            rows.append((10 * k + j, " ".join(copy), "en", "s", 1))
+            (near if jaccard(rows[-1][1], rows[-1 - j][1]) >= 0.8 else far).add(10 * k + j)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert len(near) >= 180 and len(far) >= 50
+    kept = {r.doc_id for r in cp.near_duplicate_stage(spark, docs, small).collect()}
+    assert kept == {10 * k for k in range(60)} | far
+
+
+def test_components_match_all_pairs(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, shingles.shingle_set((r.text or "").encode())) for r in docs.collect()]
+    inside = [set(s.tolist()) for _, s in rows]
+    parent = list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            a, b = inside[i], inside[j]
+            if 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and 5 * len(a & b) >= 4 * len(a | b):
+                parent[find(i)] = find(j)
+    least = {}
+    for i, (doc, _) in enumerate(rows):
+        least[find(i)] = min(doc, least.get(find(i), doc))
+    assert {(r.doc_id, r.component_id) for r in shingles.near_duplicates(docs).collect()} == {(doc, least[find(i)]) for i, (doc, _) in enumerate(rows)}
