@@ -34,13 +34,12 @@ def features(text: bytes | None) -> list[float]:
     lines = [x for x in b.split(b"\n") if x.strip()]
     k = len(lines) or 1
     again = sum(map(eq, words, words[1:]))
-    heads = words[: 1 << 12]
     return [
         lower / n, upper / n, digit / n, high / n, space / n, (n - lower - upper - digit - high - space) / n,
         *(math.sqrt(int(c[x]) / n) for x in _SIGNS),
         upper / (lower + upper or 1), (n - space) / m / 10, again / m, distinct / m, math.log1p(m) / 10, math.sqrt(again / m),
         1 - len(set(lines)) / k, math.log1p(m / k) / 10, sum(len(w) <= 3 for w in words) / m, sum(len(w) > 20 for w in words) / m,
-        sum(w.isupper() for w in words) / m, distinct / math.sqrt(m) / 10, math.sqrt(len({w.lower() for w in heads}) / len(heads)) if heads else 0.0, float(not words),
+        sum(w.isupper() for w in words) / m, distinct / math.sqrt(m) / 10, math.sqrt(len({w.lower() for w in words}) / m), float(not words),
     ]
 
 

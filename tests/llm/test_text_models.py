@@ -123,3 +123,9 @@ def test_risk_is_kept_from_going_below_zero():
 @pytest.mark.parametrize("text", [None, b"", b"a", b" \n", "é".encode() * 9])
 def test_features_are_finite(text):
     assert np.isfinite(quality.features(text)).all()
+
+
+def test_features_cover_whole_text():
+    head = [f"w{i}" for i in range(4096)]
+    same, other = (quality.features(" ".join(head + tail).encode()) for tail in (["The", "the"] * 4096, ["The", "tha"] * 4096))
+    assert np.isclose(same[-2] ** 2, 4097 / 12288) and np.isclose(other[-2] ** 2, 4098 / 12288)
