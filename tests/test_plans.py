@@ -46,3 +46,15 @@ def test_matches_sql(spark, duck, small, name):
 def test_pair_canon_known_addresses(spark, small):
     r = QUERIES["m10_pair_canon"](spark, small).where("a = 3 and p = 11 and n = 5").first()
     assert [(r[f"x{i}"], r[f"y{i}"], r["z"]) for i in (1, 2, 3, 4)] == [(16, 5, 19), (22, -5, 19), (14, -3, 19), (24, 3, 19)]
+
+
+def test_capped_pool_falls_back_to_rarest_terms(spark, tmp_path):
+    """A query all of whose terms are over the cap still has results; one with a rare term is held to the cap."""
+    texts = ["alpha beta" if i < 60 else "beta gamma" if i < 90 else "rare gamma" if i < 93 else f"other{i}" for i in range(300)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "alpha beta"), (2, "rare alpha")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {}
+    for r in QUERIES["r36_capped_bm25"](spark, str(tmp_path)).collect():
+        got.setdefault(r.qid, []).append((r["rank"], r.doc_id))
+    assert sorted(got[1]) == [(i + 1, i) for i in range(10)]
+    assert sorted(got[2]) == [(1, 90), (2, 91), (3, 92)]
