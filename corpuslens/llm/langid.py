@@ -24,6 +24,8 @@ FIT_DOCS, ROUNDS = 150, 3
 FLOOR = 1e-7
 #: Words whose scores a task keeps, and the length up to which words are scored together without logarithms.
 KEPT_WORDS, SHORT = 400_000, 36
+#: Characters of longer words that the fit sums over at once.
+LONG_AT_ONCE = 200_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 UNDETERMINED = "und"
 
@@ -79,6 +81,12 @@ class Pieces:
         at = np.minimum(np.searchsorted(self.hashes, x), len(self.hashes) - 1)
         return np.where(self.hashes[at] == x, self.order[at], -1)
 
+    def all_ending(self, h: np.ndarray, n: int) -> np.ndarray:
+        """The pieces of ``n`` characters that end at n, n + 1, ... in each row; -1 where there is none."""
+        x = h[:, n:] - h[:, :-n] * self.power[n]
+        at = np.minimum(np.searchsorted(self.hashes, x), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == x, self.order[at], -1)
+
 
 def by_length(words: list[str]) -> dict[int, np.ndarray]:
     lengths = np.fromiter(map(len, words), np.int64, len(words))
@@ -132,7 +140,12 @@ def expected(find: Pieces, words: list[str], weight: np.ndarray, prob: np.ndarra
     """Expected uses of each piece (and, last, of unknown characters) over all segmentations, for one language."""
     out = np.zeros(len(prob))
     for n, own in by_length(words).items():
-        if not 0 < n <= SHORT:
+        if not n:
+            continue
+        if n > SHORT:
+            for i in range(0, len(own), step := max(1, LONG_AT_ONCE // n)):
+                part = own[i : i + step]
+                _expected_long(find, codes_of(words, part, n), weight[part], prob, out)
             continue
         h = find.prefixes(codes_of(words, own, n))
         w = weight[own]
@@ -152,6 +165,27 @@ def expected(find: Pieces, words: list[str], weight: np.ndarray, prob: np.ndarra
     return out
 
 
+def _expected_long(find: Pieces, codes: np.ndarray, weight: np.ndarray, prob: np.ndarray, out: np.ndarray) -> None:
+    """Add the expected uses of pieces in long words of one length, by logarithms of the sums, which would underflow."""
+    h, n = find.prefixes(codes), codes.shape[1]
+    far = min(find.longest, n)
+    piece, use = np.full((n + 1, far, len(codes)), -1), np.zeros((n + 1, far, len(codes)))
+    for size in range(1, far + 1):
+        p = find.all_ending(h, size).T
+        piece[size:, size - 1] = p
+        use[size:, size - 1] = np.where((p >= 0) | (size == 1), prob[p], 0.0)
+    alpha, beta = np.zeros((n + 1, len(codes))), np.zeros((n + 1, len(codes)))
+    for end in range(1, n + 1):
+        k = min(far, end)
+        alpha[end] = alpha[end - 1] + np.log((use[end, :k] * np.exp(alpha[end - k : end][::-1] - alpha[end - 1])).sum(axis=0))
+    for start in range(n - 1, -1, -1):
+        k = min(far, n - start)
+        beta[start] = beta[start + 1] + np.log((use[np.arange(start + 1, start + k + 1), np.arange(k)] * np.exp(beta[start + 1 : start + k + 1] - beta[start + 1])).sum(axis=0))
+    for size in range(1, far + 1):
+        share = weight * use[size:, size - 1] * np.exp(np.minimum(alpha[: n - size + 1] + beta[size:] - alpha[n], 700.0))
+        np.add.at(out, piece[size:, size - 1], share)
+
+
 def train(samples: dict[str, list[str]], pieces: list[str], rounds: int = ROUNDS) -> Model:
     """Piece probabilities of each language from its sample texts."""
     find, langs = Pieces(pieces), sorted(samples)

@@ -129,3 +129,23 @@ def test_features_cover_whole_text():
     head = [f"w{i}" for i in range(4096)]
     same, other = (quality.features(" ".join(head + tail).encode()) for tail in (["The", "the"] * 4096, ["The", "tha"] * 4096))
     assert np.isclose(same[-2] ** 2, 4097 / 12288) and np.isclose(other[-2] ** 2, 4098 / 12288)
+
+
+def test_expectations_take_long_words():
+    pieces = ["a", "ab", "abc", "b", "c", "▁", "▁a"]
+    prob = np.random.default_rng(5).random(len(pieces) + 1) * 1e-3
+    find = langid.Pieces(pieces)
+    words, weight = ["▁" + "abcz" * 12, "▁" + "abcz" * 2000, "▁" + "cabz" * 12], np.array([2.0, 1.0, 3.0])
+    got = langid.expected(find, words, weight, prob)
+    lengths = np.array([len(p) for p in pieces] + [1])
+    assert np.isclose((got * lengths).sum(), sum(n * len(w) for w, n in zip(words, weight)))
+    eps = 1e-6
+    for i in range(len(pieces)):
+        up = prob.copy()
+        up[i] *= 1 + eps
+        d = sum(n * (langid.Model(pieces, ["x"], up[:, None]).log_likelihoods([w])[0, 0] - langid.Model(pieces, ["x"], prob[:, None]).log_likelihoods([w])[0, 0]) / eps for w, n in zip(words, weight))
+        assert np.isclose(got[i], d, rtol=1e-3, atol=1e-2)
+    short = ["▁aabcab", "▁abzcab"]
+    want, out = langid.expected(find, short, np.array([2.0, 3.0]), prob), np.zeros(len(prob))
+    langid._expected_long(find, langid.codes_of(short, np.arange(2), 7), np.array([2.0, 3.0]), prob, out)
+    assert np.allclose(out, want)
