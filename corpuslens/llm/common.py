@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     known = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if known is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         known = "file://" + tempfile.mkdtemp(prefix="corpuslens-")
         sc.setCheckpointDir(known)
     elif sc.getCheckpointDir() is None:
@@ -66,6 +69,7 @@ def map_columns(
     that returns the new columns. ``carry`` columns pass unchanged; one with the name of a new
     column is replaced by it.
     """
+    ship_package(df.sparkSession)
     new = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     carry = [c for c in carry if c not in new.names]
     src = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)], *[F.col(f"`{c}`").alias(f"i{i}") for i, c in enumerate(inputs)])
@@ -83,6 +87,39 @@ def map_columns(
     return mapped.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)], *[F.col(f"n{i}").alias(f.name) for i, f in enumerate(new)])
 
 
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """mapInArrow with this package's code at hand on the executors."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
+def expand_rows(
+    df: DataFrame,
+    make: Callable[[], Callable[..., Iterator[tuple[np.ndarray, Sequence]]]],
+    inputs: Sequence[str],
+    schema: str,
+    carry: Sequence[str] = (),
+) -> DataFrame:
+    """Any number of rows made from each row, without a shuffle.
+
+    ``make()`` runs once a task and gives the function of the input columns (as Arrow arrays) that
+    yields, part by part, the numbers of the rows that new ones are made from and the new columns.
+    """
+    new = T.StructType.fromDDL(schema)
+    out = T.StructType([*(df.schema[c] for c in carry), *new])
+    src = df.select(*carry, *[F.col(c).alias(f"_in{i}") for i, c in enumerate(inputs)])
+    n, names = len(carry), out.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fn = make()
+        for b in batches:
+            if b.num_rows:
+                for at, made in fn(*b.columns[n:]):
+                    yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at)) for c in b.columns[:n]), *made], names=names)
+
+    return map_batches(src, run, out)
+
+
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of a text column, without decoding them."""
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()

@@ -7,6 +7,10 @@ differed in no bit of the first block, one of the first two, and so on: the trav
 is cut as soon as it is over that. Tries are dealt out by their first bits; a node pair that still
 holds too many rows is dealt out further down by the same rule. Within a task, subtrees that are
 known to be of one component are not compared again, and a spanning forest is all that leaves it.
+
+``near_duplicates`` links fingerprints of one word by their distance. ``similar_documents`` links
+texts by the similarity of their shingle sets: the words of a wide fingerprint are searched by the
+same tries with a wide budget, the whole fingerprint tells likely pairs, the sets confirm them.
 """
 
 from __future__ import annotations
@@ -15,11 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, map_columns
+from .common import as_bytes, cut, expand_rows, map_batches, map_columns
 from .components import roots
 
 #: Lower-cases A-Z only.
@@ -31,25 +36,105 @@ TASK_ROWS = 200_000
 #: Leaf pairs compared at once.
 _AT_ONCE = 1 << 20
 SHINGLE, SEED = 4, 42
+#: Words of a wide fingerprint, how many of them have tries, and the bits in which those may differ.
+WORDS, TRIES, WIDE_BUDGET = 6, 3, 12
+#: Least similarity of shingle sets, as a fraction, and bits of all words in which likely pairs differ at most: 0.8 gives 58 on average, with a deviation of 7.
+LEAST, FAR = (4, 5), 77
+WIDE_SHINGLE = 5
+#: Nodes whose sets are picked out by a broadcast (8 bytes each and some); beyond it by a shuffle join.
+BROADCAST_NODES = 1_000_000
 
 
-def fingerprint(text: bytes | None, size: int = SHINGLE, seed: int = SEED) -> int:
-    """The bits set in over half the XXH64 of the text's shingles, as a signed 64-bit integer."""
+def _bounds(words: list[bytes], size: int) -> tuple[list[int], list[int]]:
+    """Where each shingle begins and ends in the words joined by single spaces; fewer words than ``size`` are one."""
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    return starts[: max(1, len(words) - size + 1)].tolist(), ends[min(size, len(words)) - 1 :].tolist()
+
+
+def shingle_hashes(text: bytes | None, size: int, seed: int = SEED) -> np.ndarray:
+    """The XXH64 of each shingle of a text, repeats included; none, if it has no words."""
     words = text.translate(_LOWER).split() if text else []
     if not words:
-        return 0
-    joined = b" ".join(words)
-    h = xxhash.xxh64_intdigest
-    if len(words) <= size:
-        hashes = np.array([h(joined, seed)], np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        starts = [0, *ends[:-1].tolist()]
-        hashes = np.fromiter((h(joined[a:b], seed) for a, b in zip(starts, (ends[size - 1 :] - 1).tolist())), np.uint64, len(words) - size + 1)
-    votes = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), 1 << 14):
-        votes += np.unpackbits(hashes[i : i + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * votes > len(hashes), bitorder="little").view("<i8")[0])
+        return np.zeros(0, np.uint64)
+    joined, h = b" ".join(words), xxhash.xxh64_intdigest
+    starts, ends = _bounds(words, size)
+    return np.fromiter((h(joined[a:b], seed) for a, b in zip(starts, ends)), np.uint64, len(starts))
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """For each column of 64-bit words, the word of the bits that are set in over half the rows."""
+    n, words = hashes.shape
+    votes = np.zeros(64 * words, np.int64)
+    for i in range(0, n, 1 << 13):
+        bits = np.unpackbits(np.ascontiguousarray(hashes[i : i + (1 << 13)]).view(np.uint8).reshape(-1, 8 * words), axis=1, bitorder="little")
+        for j in range(0, len(bits), 255):  # sums of 255 bits fit into a byte
+            votes += np.add.reduce(bits[j : j + 255], axis=0, dtype=np.uint8)
+    return np.packbits(2 * votes > n, bitorder="little").view("<u8")
+
+
+def fingerprint(text: bytes | None, size: int = SHINGLE, seed: int = SEED) -> int:
+    """The bits set in over half the XXH64 of the text's shingles, as a signed 64-bit integer."""
+    hashes = shingle_hashes(text, size, seed)
+    return int(majority(hashes[:, None]).view("<i8")[0]) if len(hashes) else 0
+
+
+def shingle_sets(texts: pa.Array, size: int = WIDE_SHINGLE) -> list[np.ndarray]:
+    """Of each text the distinct hashes of its shingles, sorted: each mixes the XXH64 of its words by their places.
+
+    A text of fewer words is one shingle; a null text, and one without words, has none.
+    """
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    coded = lists.flatten().dictionary_encode()
+    words = as_bytes(coded.dictionary)
+    of_word = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
+    own = coded.indices.to_numpy(zero_copy_only=False)
+    # a text that begins or ends with white space has an empty word there
+    full = np.fromiter(map(bool, words), bool, len(words))[own] if len(own) else np.zeros(0, bool)
+    before = np.concatenate([[0], np.cumsum(full)])
+    at = before[lists.offsets.to_numpy() - (lists.offsets[0].as_py() if len(lists) else 0)].tolist() if len(lists) else [0]
+    h = of_word[own[full]] if len(own) else np.zeros(0, np.uint64)
+    mixed: dict[int, np.ndarray] = {}
+    out = []
+    for i, j in zip(at, at[1:]):
+        if i == j:
+            out.append(np.zeros(0, np.uint64))
+            continue
+        n = min(size, j - i)
+        if n not in mixed:
+            x = np.full(len(h) - n + 1, n, np.uint64)
+            for k in range(n):
+                x = (x ^ h[k : k + len(x)]) * np.uint64(0x9E3779B97F4A7C15)
+                x ^= x >> np.uint64(32)
+            mixed[n] = x
+        x = np.sort(mixed[n][i : j - n + 1])
+        out.append(x[np.concatenate([[True], x[1:] != x[:-1]])])
+    return out
+
+
+def shingle_set(text: bytes | None, size: int = WIDE_SHINGLE) -> np.ndarray:
+    return shingle_sets(pa.array([text and text.decode()], pa.string()), size)[0]
+
+
+def node_of(s: np.ndarray) -> int:
+    """The number of a set: equal sets have the same."""
+    return int(np.uint64(xxhash.xxh64_intdigest(s.tobytes(), SEED)).view(np.int64))
+
+
+def wide_fingerprint(s: np.ndarray) -> np.ndarray:
+    """The majority bits of ``WORDS`` independent hashes of each element, mixed from the one it has."""
+    if not len(s):
+        return np.zeros(WORDS, np.uint64)
+    x = s[:, None] + np.uint64(0x9E3779B97F4A7C15) * np.arange(1, WORDS + 1, dtype=np.uint64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return majority(x ^ (x >> np.uint64(31)))
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets have a Jaccard similarity of ``LEAST`` or more."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return LEAST[1] * both >= LEAST[0] * (len(a) + len(b) - both)
 
 
 def fingerprints(docs: DataFrame, *, text: str = "text", carry: list[str] | None = None, size: int = SHINGLE) -> DataFrame:
@@ -89,37 +174,51 @@ def rotated(v: np.ndarray, r: np.ndarray, budget: int, back: bool = False) -> np
     return (v << a) | np.where(a > 0, v >> ((np.uint64(64) - a) % np.uint64(64)), np.uint64(0))
 
 
-def _labels(n: int, u: np.ndarray, v: np.ndarray, start: np.ndarray) -> np.ndarray:
-    label = start
-    while True:
-        m = np.minimum(label[u], label[v])
-        new = label.copy()
-        np.minimum.at(new, label[u], m)
-        np.minimum.at(new, label[v], m)
-        while not np.array_equal(nxt := new[new], new):
-            new = nxt
-        if np.array_equal(new, label):
-            return new
-        label = new
-
-
-def trie_join(value: np.ndarray, r: np.ndarray, tasks: list[np.ndarray], budget: int) -> np.ndarray:
-    """The component label of each row, from all pairs of the tasks within the budget.
-
-    ``value``: rotated bits, sorted within each node. ``tasks``: arrays a_lo, a_hi, b_lo, b_hi, err,
-    depth; a node pair each, with a = b for a node and itself.
+class Forest:
+    """Components of rows, and the pairs that joined them."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+        self.pairs: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def join(self, u: np.ndarray, v: np.ndarray) -> None:
+        """Join rows pairwise; of the pairs, only those that join two components are kept."""
+        while len(u):
+            a, b = self.label[u], self.label[v]
+            new = a != b
+            u, v, a, b = u[new], v[new], a[new], b[new]
+            if not len(u):
+                return
+            # each component hangs itself, by one pair, on one of a smaller label
+            high, at = np.unique(np.maximum(a, b), return_index=True)
+            self.pairs.append((u[at], v[at]))
+            to = np.arange(len(self.label))
+            to[high] = np.minimum(a, b)[at]
+            while not np.array_equal(far := to[to], to):
+                to = far
+            self.label = to[self.label]
+
+
+def trie_join(value: np.ndarray, r: np.ndarray, tasks: list[np.ndarray], budget: int, close=None) -> Forest:
+    """The components of rows, from all pairs of the tasks within the budget.
+
+    ``value``: rotated bits, sorted within each node. ``r``: the start block (a trie each; equal ones modulo
+    ``budget + 1`` start at the same block of different words). ``tasks``: arrays a_lo, a_hi, b_lo, b_hi, err,
+    depth; a node pair each, with a = b for a node and itself. ``close``: whether rows within the budget are
+    links, given two arrays of them (all are, unless given).
     """
     n = len(value)
-    label = np.arange(n)
-    allowed = budgets(budget)
+    forest = Forest(n)
+    allowed, r = budgets(budget), r.astype(np.int64)
     near = np.flatnonzero((np.bitwise_count(value[1:] ^ value[:-1]) <= budget) & (r[1:] == r[:-1]))
-    label = _labels(n, near, near + 1, label)
+    if close is not None:
+        near = near[close(near, near + 1)]
+    forest.join(near, near + 1)
     t_depth = tasks[5]
     front = [np.zeros(0, np.int64)] * 5
 
     def settle(pairs: list[np.ndarray]) -> None:
         """Compare all leaves of the pairs."""
-        nonlocal label
         al, ah, bl, bh, _ = pairs
         product = (ah - al) * (bh - bl)
         order = np.argsort(product, kind="stable")
@@ -137,15 +236,19 @@ def trie_join(value: np.ndarray, r: np.ndarray, tasks: list[np.ndarray], budget:
             hit = (u != v) & (np.bitwise_count(value[u] ^ value[v]) <= budget)
             if hit.any():
                 u, v = u[hit], v[hit]
-                new = label[u] != label[v]
-                if new.any():
-                    label = _labels(n, u[new], v[new], label)
+                new = forest.label[u] != forest.label[v]
+                u, v = u[new], v[new]
+                if close is not None and len(u):
+                    new = close(u, v)
+                    u, v = u[new], v[new]
+                forest.join(u, v)
 
     for depth in range(int(t_depth.min()) if len(t_depth) else 64, 65):
         own = t_depth == depth
         front = [np.concatenate([f, t[own]]) for f, t in zip(front, tasks[:5])]
         if not len(front[0]):
             continue
+        label = forest.label
         changes = np.concatenate([[0], np.cumsum(label[1:] != label[:-1])]) if n else label
         al, ah, bl, bh, err = front
         one = (changes[ah - 1] == changes[al]) & (changes[bh - 1] == changes[bl]) & (label[al] == label[bl])
@@ -167,32 +270,39 @@ def trie_join(value: np.ndarray, r: np.ndarray, tasks: list[np.ndarray], budget:
         al, ah, bl, bh, err = front
         keep = (ah > al) & (bh > bl)
         front = [f[keep] for f in front]
-        keep = front[4] <= allowed[r[front[0]], depth + 1]
+        keep = front[4] <= allowed[r[front[0]] % (budget + 1), depth + 1]
         front = [f[keep] for f in front]
-    return label
+    return forest
 
 
 _TASK = ["r", "depth", "a", "b", "err"]
 
 
 def trie_tasks(prints: DataFrame, budget: int, task_rows: int = TASK_ROWS) -> DataFrame:
-    """r, depth, a, b (prefixes of the node pair, a <= b), err, side, v (rotated): each fingerprint in each task that it has a part in."""
+    """r, depth, a, b (prefixes of the node pair, a <= b), err, side, v (rotated): each fingerprint in each task that it has a part in.
+
+    ``prints``: fp, trie (the number of the word that it is), and other columns, which are carried along.
+    """
+    carry = [c for c in prints.columns if c not in ("fp", "trie")]
+    first_bits = min(FIRST_BITS, *ring_blocks(budget))
 
     def first():
-        def run(fp):
-            v = np.repeat(fp.to_numpy().view(np.uint64), budget + 1)
-            r = np.tile(np.arange(budget + 1), len(fp))
-            v = rotated(v, r, budget)
-            top = (v >> np.uint64(64 - FIRST_BITS)).astype(np.int64)
-            return [pa.array([list(map(tuple, x)) for x in np.stack([r, top, v.view(np.int64)], 1).reshape(-1, budget + 1, 3).tolist()], pa.list_(pa.struct([("r", pa.int64()), ("a", pa.int64()), ("v", pa.int64())])))]
+        def run(fp, trie):
+            n = len(fp)
+            at = np.repeat(np.arange(n), budget + 1)
+            r = np.tile(np.arange(budget + 1), n)
+            v = rotated(fp.to_numpy().view(np.uint64)[at], r, budget)
+            top = pa.array((v >> np.uint64(64 - first_bits)).astype(np.int64))
+            none = pa.array(np.zeros(len(at), np.int64))
+            yield at, [pa.array(r + trie.to_numpy()[at] * (budget + 1)), pa.array(np.full(len(at), first_bits)), top, top, none, none, pa.array(v.view(np.int64))]
 
         return run
 
-    x = map_columns(prints, first, ["fp"], "x array<struct<r:bigint,a:bigint,v:bigint>>").select(F.explode("x").alias("x"))
-    rows = x.select("x.r", F.lit(FIRST_BITS).cast("long").alias("depth"), "x.a", F.col("x.a").alias("b"), F.lit(0).cast("long").alias("err"), F.lit(0).cast("long").alias("side"), "x.v")
+    made = "r bigint, depth bigint, a bigint, b bigint, err bigint, side bigint, v bigint"
+    rows = expand_rows(prints, first, ["fp", "trie"], made, carry)
     allowed = budgets(budget)
     done = None
-    depth = FIRST_BITS
+    depth = first_bits
     while depth + MORE_BITS <= 64 - 4:
         large = cut(rows.groupBy(*_TASK).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > task_rows).drop("n"))
         if not large.limit(1).count():
@@ -202,38 +312,38 @@ def trie_tasks(prints: DataFrame, budget: int, task_rows: int = TASK_ROWS) -> Da
         depth += MORE_BITS
 
         def deeper(depth=depth):
-            masks = [(m, m.bit_count()) for m in range(1 << MORE_BITS)]
-
             def run(r, a, b, err, side, v):
-                out = []
-                for r, a, b, err, side, v in zip(r.to_pylist(), a.to_pylist(), b.to_pylist(), err.to_pylist(), side.to_pylist(), v.to_pylist()):
-                    bits = ((v & 0xFFFFFFFFFFFFFFFF) >> (64 - depth)) & ((1 << MORE_BITS) - 1)
-                    most = int(allowed[r, depth]) - err
-                    own = []
-                    for mask, n in masks:
-                        if n > most:
-                            continue
-                        other = bits ^ mask
-                        if a == b:
-                            p, q = a << MORE_BITS | bits, a << MORE_BITS | other
-                            own.append((min(p, q), max(p, q), err + n, int(p > q)))
-                        elif side == 0:
-                            own.append((a << MORE_BITS | bits, b << MORE_BITS | other, err + n, 0))
-                        else:
-                            own.append((a << MORE_BITS | other, b << MORE_BITS | bits, err + n, 1))
-                    out.append(own)
-                return [pa.array(out, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("err", pa.int64()), ("side", pa.int64())])))]
+                r, a, b, err, side, v = (x.to_numpy() for x in (r, a, b, err, side, v))
+                own = ((v.view(np.uint64) >> np.uint64(64 - depth)) & np.uint64((1 << MORE_BITS) - 1)).astype(np.int64)
+                most = allowed[r % (budget + 1), depth] - err
+                for mask in range(1 << MORE_BITS):
+                    at = np.flatnonzero(mask.bit_count() <= most)
+                    if not len(at):
+                        continue
+                    left, right = np.where(side[at] == 0, own[at], own[at] ^ mask), np.where(side[at] == 0, own[at] ^ mask, own[at])
+                    p, q = a[at] << MORE_BITS | left, b[at] << MORE_BITS | right
+                    # a node and itself: its parts take their sides by their order
+                    swap = (a[at] == b[at]) & (p > q)
+                    new_side = np.where(a[at] == b[at], swap, side[at])
+                    p, q = np.where(swap, q, p), np.where(swap, p, q)
+                    yield at, [pa.array(x) for x in (r[at], np.full(len(at), depth), p, q, err[at] + mask.bit_count(), new_side.astype(np.int64), v[at])]
 
             return run
 
         big = rows.join(large, _TASK, "left_semi")
-        y = map_columns(big, deeper, ["r", "a", "b", "err", "side", "v"], "y array<struct<a:bigint,b:bigint,err:bigint,side:bigint>>", ["r", "v"])
-        rows = cut(y.select("r", "v", F.explode("y").alias("y")).select("r", F.lit(depth).cast("long").alias("depth"), "y.a", "y.b", "y.err", "y.side", "v"))
+        rows = cut(expand_rows(big, deeper, ["r", "a", "b", "err", "side", "v"], made, carry))
     return rows if done is None else done.unionByName(rows)
 
 
 def links(prints: DataFrame, budget: int = 4, task_rows: int = TASK_ROWS) -> DataFrame:
-    """u, v: a forest of links between distinct fingerprints that joins all pairs at most ``budget`` bits apart."""
+    """u, v: a forest of links, in each task, that joins all pairs at most ``budget`` bits apart.
+
+    ``prints``: distinct fp; or fp, trie, node and words (a wide fingerprint as bytes), for links between nodes
+    whose words differ in at most ``FAR`` bits together.
+    """
+    wide = "words" in prints.columns
+    if not wide:
+        prints = prints.select("fp", F.lit(0).cast("long").alias("trie"))
     tasks = trie_tasks(prints, budget, task_rows)
     n = prints.count() * (budget + 1)
     tasks = tasks.repartition(max(1, min(-(-n // 20_000), prints.sparkSession.sparkContext.defaultParallelism * 4) if n < task_rows * 64 else -(-n // task_rows)), *_TASK)
@@ -256,14 +366,39 @@ def links(prints: DataFrame, budget: int = 4, task_rows: int = TASK_ROWS) -> Dat
         itself = a[new] == b[new]
         al, ah, bl, bh = new, np.where(itself, ends, mids), np.where(itself, new, mids), ends
         live = (ah > al) & (bh > bl)
-        label = trie_join(v, r, [x[live] for x in (al, ah, bl, bh, err[new], depth[new])], budget)
-        far = np.flatnonzero(label != np.arange(len(label)))
-        plain = rotated(v, r, budget, back=True).view(np.int64)
-        for i in range(0, len(far), 1 << 16):
-            k = far[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(plain[k]), pa.array(plain[label[k]])], names=["u", "v"])
-
-    return tasks.mapInArrow(run, "u bigint, v bigint")
+        close = None
+        if wide:
+            name = t.column("node").to_numpy()[order]
+            words = np.frombuffer(b"".join(t.column("words").to_pylist()), np.uint64).reshape(-1, WORDS)[order]
+
+            def close(x, y):
+                out = np.zeros(len(x), bool)
+                for i in range(0, len(x), 1 << 18):
+                    p, q = x[i : i + (1 << 18)], y[i : i + (1 << 18)]
+                    out[i : i + (1 << 18)] = np.bitwise_count(words[p] ^ words[q]).sum(axis=1) <= FAR
+                return out
+
+        else:
+            name = rotated(v, r, budget, back=True).view(np.int64)
+        forest = trie_join(v, r, [x[live] for x in (al, ah, bl, bh, err[new], depth[new])], budget, close)
+        for u, w in forest.pairs:
+            yield pa.RecordBatch.from_arrays([pa.array(name[u]), pa.array(name[w])], names=["u", "v"])
+
+    return map_batches(tasks, run, "u bigint, v bigint")
+
+
+def _components(d: DataFrame, edges: DataFrame, node: str) -> DataFrame:
+    """``d`` (doc_id, node and more) with component_id: the smallest doc_id that a row's node reaches over ``edges`` (u, v)."""
+    # a node is named by its smallest doc_id, or by a number above all of them; so the smallest name of a component is its id
+    beyond = F.lit(str(1 << 63)).cast("decimal(20,0)")
+    first = d.groupBy(node).agg(F.min("doc_id").alias("first"))
+    named = cut(first.select(node, F.coalesce(F.col("first").cast("decimal(20,0)"), beyond * 2 + F.col(node)).cast("decimal(20,0)").alias("name")))
+    of = lambda x: named.select(F.col(node).alias(x), F.col("name").alias(f"{x}_name"))
+    e = edges.select("u", "v").where("u != v").distinct().join(of("u"), "u").join(of("v"), "v").select(F.col("u_name").alias("u"), F.col("v_name").alias("v"))
+    root = roots(e).withColumnRenamed("node", "name")
+    own = named.join(root, "name", "left").select(node, F.coalesce("root", "name").alias("root"))
+    own = own.select(node, F.when(F.col("root") < beyond, F.col("root").cast("long")).alias("component_id"))
+    return d.join(own, node)
 
 
 def near_duplicates(docs: DataFrame, *, budget: int = 4, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, task_rows: int = TASK_ROWS) -> DataFrame:
@@ -273,9 +408,62 @@ def near_duplicates(docs: DataFrame, *, budget: int = 4, doc_id: str = "doc_id",
     doc_id in it is known. Texts without words have fingerprint zero, linked like any other.
     """
     d = cut(fingerprints(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), size=size))
-    prints = cut(d.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    root = roots(links(prints.select("fp"), budget, task_rows))
-    of = cut(prints.join(root.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first"))
-    best = of.groupBy("root").agg(F.min("first").alias("component_id"))
-    own = of.join(best, "root").select("fp", "component_id")
-    return d.join(own, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    edges = links(d.select("fp").distinct(), budget, task_rows)
+    return _components(d, edges, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose sets are similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            a, c = (b.column(k).to_pylist() for k in ("a", "b"))
+            hit = pa.array([similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, c)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], names=["u", "v"]).filter(hit)
+
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("s").alias("b")), "v")
+    return map_batches(both.select("u", "v", "a", "b"), run, "u bigint, v bigint")
+
+
+def similar_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", task_rows: int = TASK_ROWS) -> DataFrame:
+    """doc_id, component_id: the smallest doc_id reachable over pairs of texts whose sets of five-word shingles are 0.8 similar or more, for every row.
+
+    Pairs are found by their wide fingerprints, so a few of similarity near 0.8 may be missed (of similarity 0.8
+    exactly, a pair alone is met with a chance of 0.96, of 0.85 with 0.99); no pair of a lower similarity is a link.
+    Equal sets are one node. A null doc_id belongs to its component, and is its id only if no doc_id in it is
+    known. Texts without words are equal. Repeated rows count once; an empty table gives an empty result.
+    """
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    docs = docs.withColumn("row", F.xxhash64("doc_id", F.xxhash64(F.coalesce("text", F.lit("")))))
+
+    def prints():
+        def run(texts):
+            sets = shingle_sets(texts)
+            return pa.array([node_of(s) for s in sets], pa.int64()), pa.array([wide_fingerprint(s).tobytes() for s in sets], pa.binary())
+
+        return run
+
+    def whole():
+        def run(texts):
+            sets = shingle_sets(texts)
+            return pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())
+
+        return run
+
+    d = cut(map_columns(docs, prints, ["text"], "node bigint, words binary", ["doc_id", "row"]))
+    nodes = cut(d.groupBy("node").agg(F.min("row").alias("row"), F.first("words").alias("words")))
+
+    def split():
+        def run(words):
+            w = np.frombuffer(b"".join(words.to_pylist()), np.int64).reshape(-1, WORDS)[:, :TRIES]
+            yield np.repeat(np.arange(len(w)), TRIES), [pa.array(w.ravel()), pa.array(np.tile(np.arange(TRIES), len(w)))]
+
+        return run
+
+    pairs = cut(links(expand_rows(nodes.select("node", "words"), split, ["words"], "fp bigint, trie bigint", ["node", "words"]), WIDE_BUDGET, task_rows).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u != v").distinct())
+    wanted = cut(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "row"), "node").select("row").distinct())
+    if n := wanted.count():
+        some = docs.join(F.broadcast(wanted) if n <= BROADCAST_NODES else wanted, "row", "left_semi")
+        sets = cut(map_columns(some, whole, ["text"], "node bigint, s binary").dropDuplicates(["node"]))
+        pairs = cut(_confirmed(pairs, sets))
+    return _components(d.select("doc_id", "node"), pairs, "node")

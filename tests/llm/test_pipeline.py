@@ -1,7 +1,9 @@
 import corpus_pipeline as cp
 from pyspark.sql import functions as F
 
-from corpuslens.llm import decontaminate, queries, simhash
+from corpuslens.llm import decontaminate
+
+from test_similar_documents import brute_components
 
 
 def test_stages_follow_their_operators(spark, small):
@@ -13,11 +15,8 @@ def test_stages_follow_their_operators(spark, small):
         assert docs.columns == cp.COLUMNS
         kept[name] = {r.doc_id for r in docs.collect()}
         assert kept[name] <= before
-    groups = {}
     base = spark.read.parquet(f"{small}/documents.parquet").where(F.col('doc_id').isin(list(kept["language"]))).cache()
-    for r in simhash.near_duplicates(base).collect():
-        groups.setdefault(r.component_id, set()).add(r.doc_id)
-    assert kept["near_duplicates"] == {min(g) for g in groups.values()}
+    assert kept["near_duplicates"] == {least for _, least in brute_components([(r.doc_id, r.text) for r in base.collect()])}
     items = [decontaminate.words_of(r.text.encode()) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
     runs = {w for i in items for w in decontaminate.windows_of(i)}
     for r in base.where(F.col('doc_id').isin(list(kept["near_duplicates"]))).collect():
