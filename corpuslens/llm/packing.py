@@ -1,16 +1,18 @@
 """Best-fit packing by bin completion: documents into as few fixed-length sequences as possible.
 
 Lengths of pieces are small integers, so their histogram (at most ``capacity`` entries, whatever
-the input) says all that packing needs. The driver packs the histogram: bin completion takes the
-largest remaining length, looks by branch and bound for the undominated filling that wastes least,
-and uses it as often as the counts allow. The plan, a list of sequences by pattern, is then dealt
-out to the pieces by their rank within their length.
+the input) says all that packing needs. The driver packs the histogram by branch and bound. A branch
+completes a sequence around the largest length left: undominated fillings of its room are tried, the
+fullest first, each as often as the counts allow at once. A branch ends when its waste leaves no way to
+beat the incumbent, which is the best-fit-decreasing plan at first. The plan, a list of sequences by
+pattern, is then dealt out to the pieces by their rank within their length.
 """
 
 from __future__ import annotations
 
 import bisect
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +22,9 @@ from pyspark.sql import functions as F
 from .common import cut, map_columns
 from .tokens import encoder
 
-#: Steps of one search for a filling, and of the search for a better plan as a whole. They bound the driver's time; the incumbent stands when they run out.
-FILL_STEPS, PLAN_STEPS = 4000, 12
-#: Sequences, the last that the first plan completes, whose fillings are searched again if the plan needs more than the bound.
-TAIL = 96
+#: Branches that the search for a plan tries after its first dive, and fillings that it looks at in each. They bound the driver's
+#: time, not the plan's quality at the first dive; the incumbent stands when they run out. None for no bound: then the plan is optimal.
+BRANCHES, FILLINGS = 600, 8
 #: Rows that are ranked in one task at about the most.
 RANKED_ROWS = 100_000
 
@@ -55,49 +56,73 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, end_i
     return p.select("doc_id", "piece", (F.col("piece").cast("long") * capacity).alias("start"), F.col("x.lengths").alias("length"), F.col("x.crcs").alias("ids_crc32"))
 
 
-def best_filling(counts: np.ndarray, room: int, steps: int = FILL_STEPS) -> list[int]:
-    """Lengths (largest first) that fill ``room`` best, of those with a count left.
+Pattern = tuple[tuple[int, int], ...]  # (length, how many), the largest length first
 
-    Branch and bound: a branch is cut when what it can still reach does not beat the incumbent;
-    larger lengths go first, as a filling with them dominates one with smaller ones of the same sum.
+
+def fillings(counts: np.ndarray, room: int) -> Iterator[Pattern]:
+    """Undominated fillings of ``room`` by lengths that have a count left, the fullest first, of equally full ones that with larger lengths.
+
+    One that could take a further length, or a larger one in place of one or more of its own, is dominated.
     """
     have = np.flatnonzero(counts[: room + 1])
     have = have[have > 0][::-1].tolist()
-    best: list[int] = []
-    best_sum, left = 0, steps
-    reach = np.zeros(len(have) + 1, np.int64)
-    reach[:-1] = np.cumsum((counts[have] * np.array(have, np.int64))[::-1])[::-1] if have else 0
-    reach = reach.tolist()
-    at, below = {n: i for i, n in enumerate(have)}, [-n for n in have]
-    picked: list[int] = []
-
-    def search(i: int, room_left: int, total: int) -> None:
-        nonlocal best, best_sum, left
-        if total > best_sum:
-            best, best_sum = picked.copy(), total
-        while i < len(have) and best_sum < room and left > 0:
-            if have[i] > room_left:
-                i = max(i, bisect.bisect_left(below, -room_left))
-                if i >= len(have):
-                    return
-            if total + min(room_left, reach[i]) <= best_sum:
+    most = [min(int(counts[n]), room // n) for n in have]
+    # sums that the lengths from each on can have, as bits
+    bits, reach = (1 << room + 1) - 1, [1] * (len(have) + 1)
+    for i in range(len(have) - 1, -1, -1):
+        r, k, step = reach[i + 1], most[i], 1
+        while k:
+            r |= r << min(step, k) * have[i] & bits
+            k -= min(step, k)
+            step *= 2
+        reach[i] = r & bits
+    below = [-n for n in have]
+
+    def of_sum(i: int, left: int) -> Iterator[Pattern]:
+        """The ways to ``left`` by lengths from the i-th on; every step can be completed."""
+        if not left:
+            yield ()
+            return
+        i = max(i, bisect.bisect_left(below, -left))
+        while i < len(have):
+            n, after = have[i], reach[i + 1]
+            for k in range(min(most[i], left // n), 0, -1):
+                if after >> (left - k * n) & 1:
+                    for rest in of_sum(i + 1, left - k * n):
+                        yield ((n, k), *rest)
+            if not after >> left & 1:
                 return
-            left -= 1
-            n = have[i]
-            if picked.count(n) < counts[n]:
-                rest = room_left - n
-                picked.append(n)
-                if rest in at and at[rest] >= i and picked.count(rest) < counts[rest]:  # an exact fit ends the search
-                    best, best_sum = [*picked, rest], room
-                else:
-                    search(i, rest, total + n)
-                picked.pop()
             i += 1
 
-    if room in at:
-        return [room]
-    search(0, room, 0)
-    return best
+    for total in range(room, -1, -1):
+        if reach[0] >> total & 1:
+            for f in of_sum(0, total):
+                if not _dominated(f, counts, room - total):
+                    yield f
+
+
+def _dominated(filling: Pattern, counts: np.ndarray, slack: int) -> bool:
+    """Whether some of the filling (or nothing) can be exchanged for one larger length that is left, or several for one as large."""
+    left = counts.copy()
+    one = any_sum = 1
+    several = 0  # sums of two or more members
+    for n, k in filling:
+        left[n] -= k
+        for _ in range(k):
+            several |= several << n | (any_sum & ~1) << n
+            any_sum |= any_sum << n
+    one = int.from_bytes(np.packbits(left > 0, bitorder="little").tobytes(), "little") & ~1
+    if several & one:
+        return True
+    # sums raised by 1 to ``slack``
+    spread, width = any_sum << 1, 1
+    if not slack:
+        return False
+    while width < slack:
+        step = min(width, slack - width)
+        spread |= spread << step
+        width += step
+    return bool(spread & one)
 
 
 def lower_bound(counts: np.ndarray, capacity: int) -> int:
@@ -107,80 +132,112 @@ def lower_bound(counts: np.ndarray, capacity: int) -> int:
     over = np.concatenate([np.cumsum(counts[::-1])[::-1], [0]])
     volume = np.concatenate([[0], np.cumsum(counts * n)])
     half = capacity // 2
-    for a in range(half + 1):
-        large = int(over[capacity - a + 1]) if capacity - a + 1 <= capacity else 0
-        middle = int(over[half + 1]) - large
-        free = middle * capacity - int(volume[capacity - a + 1] - volume[half + 1])
-        small = int(volume[half + 1] - volume[a])
-        best = max(best, large + middle + max(0, -(-(small - free) // capacity)))
-    return best
-
-
-def plan(counts: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
-    """Patterns (lengths of one sequence, largest first) and how many sequences have each.
-
-    The first plan completes every sequence with its best filling. Waste is left to its end, so if it
-    needs more than the lower bound, its last sequences are packed again: branches forbid the filling
-    found for the lengths that waste most, and end as soon as their waste reaches the incumbent's.
+    a = np.arange(half + 1)
+    large = np.where(a > 0, over[np.minimum(capacity - a + 1, len(counts))], 0)
+    middle = over[half + 1] - large
+    free = middle * capacity - (volume[capacity - a + 1] - volume[half + 1])
+    small = volume[half + 1] - volume[a]
+    return max(best, int((large + middle + np.maximum(0, -(-(small - free) // capacity))).max()))
+
+
+def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[Pattern, int]]:
+    """Best fit decreasing: each length, from the largest on, goes to the fullest sequences that it fits into; equal sequences are filled together."""
+    by_room: dict[int, list[tuple[Pattern, int]]] = {}
+    rooms: list[int] = []
+
+    def put(room: int, pattern: Pattern, times: int) -> None:
+        if times:
+            if room not in by_room:
+                by_room[room] = []
+                bisect.insort(rooms, room)
+            by_room[room].append((pattern, times))
+
+    for n in np.flatnonzero(counts)[::-1].tolist():
+        c = int(counts[n])
+        while c and n:
+            at = bisect.bisect_left(rooms, n)
+            if at < len(rooms):
+                room = rooms[at]
+                pattern, times = by_room[room].pop()
+                if not by_room[room]:
+                    del by_room[room], rooms[at]
+            else:
+                room, pattern, times = capacity, (), c
+            each = room // n
+            full = min(times, c // each)
+            put(room - each * n, (*pattern, (n, each)), full)
+            c -= full * each
+            if full < times and c:
+                put(room - min(c, each) * n, (*pattern, (n, min(c, each))), 1)
+                full += 1
+                c -= min(c, each)
+            if pattern:
+                put(room, pattern, times - full)
+    return [x for group in by_room.values() for x in group]
+
+
+def plan(counts: np.ndarray, capacity: int, *, branches: int | None = BRANCHES, width: int | None = FILLINGS) -> list[tuple[Pattern, int]]:
+    """Patterns and how many sequences have each: as few sequences as the search finds, never more than by best fit decreasing.
+
+    Depth-first bin completion without recursion. A state (the counts left) is entered again only with fewer sequences than before.
     """
-    made = _complete(counts, capacity, {}, None)
-    spare = sum(k for _, k in made) - lower_bound(counts, capacity)
-    if spare <= 0:
-        return made
-    head, tail, left = list(made), [], TAIL
-    while head and left > 0:
-        p, k = head.pop()
-        take = min(k, left)
-        tail.append((p, take))
-        left -= take
-        if k > take:
-            head.append((p, k - take))
-    rest = np.zeros_like(counts)
-    for p, k in tail:
-        rest += np.bincount(p, minlength=len(counts)) * k
-    best, aim, queue = tail, sum(k for _, k in tail) - spare, [{}]
-    for _ in range(PLAN_STEPS):
-        if sum(k for _, k in best) <= aim or not queue:
-            break
-        forbid = queue.pop(0)
-        wasted = sorted(((capacity - sum(p)) * k, p[0]) for p, k in best if p[0] not in forbid)[-2:]
-        for _, largest in wasted:
-            other = forbid | {largest: forbid.get(largest, 0) + 1}
-            queue.append(other)
-            found = _complete(rest, capacity, other, sum(k for _, k in best))
-            if found is not None:
-                best = found
-    return head + best
-
-
-def _complete(counts: np.ndarray, capacity: int, forbid: dict[int, int], incumbent: int | None) -> list[tuple[list[int], int]] | None:
-    """Bin completion; ``forbid``: lengths that take the filling found without its largest member. None if no better than the incumbent."""
-    c = counts.astype(np.int64).copy()
-    out: list[tuple[list[int], int]] = []
-    used, volume, sizes = 0, int((c * np.arange(len(c))).sum()), np.arange(len(c))
-    while c.any():
+    counts = counts.astype(np.int64).copy()
+    counts[0] = 0
+    best = best_fit(counts, capacity)
+    best_used, bound = sum(k for _, k in best), lower_bound(counts, capacity)
+    sizes = np.arange(len(counts))
+    made: list[tuple[Pattern, int]] = []
+    seen: dict[bytes, int] = {}
+    dived, left = False, branches
+    stack: list[tuple[np.ndarray, int, Iterator[tuple[Pattern, int]]]] = []
+
+    def ways(c: np.ndarray) -> Iterator[tuple[Pattern, int]]:
+        """Fillings around the largest length left and how often to take them: as often as can be, then half as often, and so on."""
         largest = int(np.flatnonzero(c)[-1])
+        c = c.copy()
         c[largest] -= 1
-        if largest in forbid:
-            rest = c.copy()
-            for _ in range(forbid[largest]):
-                fill = best_filling(rest, capacity - largest)
-                if fill:
-                    rest[fill[0]] = 0
-        else:
-            rest = c
-        fill = best_filling(rest, capacity - largest)
-        c[largest] += 1
-        pattern = [largest, *fill]
-        need = np.bincount(pattern, minlength=len(c))
-        times = int((c[need > 0] // need[need > 0]).min())
-        out.append((pattern, times))
-        c -= need * times
-        used += times
-        if incumbent is not None and used + -(-int((c * sizes).sum()) // capacity) >= incumbent:
-            return None
-    assert sum(sum(p) * k for p, k in out) == volume
-    return out
+        for i, f in enumerate(fillings(c, capacity - largest)):
+            if width is not None and i >= width:
+                return
+            pattern = ((largest, f[0][1] + 1), *f[1:]) if f and f[0][0] == largest else ((largest, 1), *f)
+            times = min((int(c[n]) + (n == largest)) // k for n, k in pattern)
+            while times:
+                yield pattern, times
+                times //= 2
+
+    stack.append((counts, 0, ways(counts) if counts.any() else iter(())))
+    while stack and best_used > bound:
+        c, used, rest = stack[-1]
+        step = next(rest, None)
+        if step is None or (dived and left is not None and left <= 0):
+            stack.pop()
+            if made:
+                made.pop()
+            continue
+        if dived and left is not None:
+            left -= 1
+        pattern, times = step
+        after = c.copy()
+        for n, k in pattern:
+            after[n] -= k * times
+        now = used + times
+        if not after.any():
+            dived = True
+            if now < best_used:
+                best, best_used = [*made, step], now
+            continue
+        # waste bound: what is left needs its volume at least, and two lengths over one half never share a sequence
+        if now + -(-int((after * sizes).sum()) // capacity) >= best_used or (dived or times == 1) and now + lower_bound(after, capacity) >= best_used:
+            dived = True
+            continue
+        key = after.tobytes()
+        if seen.get(key, now + 1) <= now:
+            continue
+        if dived:
+            seen[key] = now
+        made.append(step)
+        stack.append((after, now, ways(after)))
+    return best
 
 
 def pack(pieces: DataFrame, *, capacity: int = 2048, key: str = "doc_id") -> DataFrame:
@@ -190,9 +247,10 @@ def pack(pieces: DataFrame, *, capacity: int = 2048, key: str = "doc_id") -> Dat
     both are interchangeable. An empty table gives an empty result.
     """
     spark = pieces.sparkSession
-    rows = pieces.count()
-    parts = max(1, -(-rows // RANKED_ROWS))
-    p = pieces.withColumn("_part", F.pmod(F.xxhash64(key, "piece"), F.lit(parts)).cast("int"))
+    # repeated rows of one key are told apart by the task that made them; the checkpoint keeps that number
+    p = cut(pieces.withColumn("_task", F.spark_partition_id()))
+    parts = max(1, -(-p.count() // RANKED_ROWS))
+    p = p.withColumn("_part", F.pmod(F.xxhash64(key, "piece", "_task"), F.lit(parts)).cast("int"))
     by_part = cut(p.groupBy("length", "_part").agg(F.count(F.lit(1)).alias("_n")))
     histogram = by_part.groupBy("length").agg(F.sum("_n").alias("n")).collect()  # at most `capacity` rows
     counts = np.zeros(capacity + 1, np.int64)
@@ -202,13 +260,12 @@ def pack(pieces: DataFrame, *, capacity: int = 2048, key: str = "doc_id") -> Dat
     taken, sequence = np.zeros(capacity + 1, np.int64), 0
     for pattern, times in plan(counts, capacity):
         offset = 0
-        for n, k in zip(*np.unique(pattern, return_counts=True)):
-            n, k = int(n), int(k)
+        for n, k in pattern:
             segments.setdefault(n, []).append((int(taken[n]), sequence, k, offset, n))
             taken[n] += k * times
             offset += n * k
         sequence += times
-    # bounded by `capacity`, not by the input: each pattern leaves of some length fewer than it takes, and has at most 64 different lengths
+    # bounded by `capacity` and `branches`, not by the input: each pattern of a dive leaves of some length fewer than it takes, and has at most 64 different lengths
     plan_of = spark.sparkContext.broadcast({n: tuple(np.array(x, np.int64) for x in zip(*s)) for n, s in segments.items()})
 
     from pyspark.sql import Window
@@ -239,4 +296,4 @@ def pack(pieces: DataFrame, *, capacity: int = 2048, key: str = "doc_id") -> Dat
 
 def pack_documents(docs: DataFrame, tokenizer: str, *, capacity: int = 2048) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of all documents."""
-    return pack(cut(token_pieces(docs, tokenizer, capacity=capacity)), capacity=capacity)
+    return pack(token_pieces(docs, tokenizer, capacity=capacity), capacity=capacity)
