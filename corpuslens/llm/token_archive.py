@@ -28,13 +28,13 @@ SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEK_MAGIC, HAS_CHECKSUMS = 0x184D2A50, 0x184D2
 #: Ids after which a frame is closed; a longer document has a frame of its own.
 FRAME_IDS = 1 << 18
 _HEAD = struct.Struct("<4sIQB")  # kind, documents, ids, bytes of an id
-_NULL = -(1 << 63)  # stands for a null doc_id in a frame
+_NULL = -(1 << 63)  # stands for a null doc_id, which a bit of its frame tells from this very number
 
 
 def frame(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
     narrow = "<u2" if not len(ids) or int(ids.max()) < 1 << 16 else "<u4"
     keys = np.array([_NULL if d is None else d for d in doc_ids], "<i8")
-    return _HEAD.pack(b"TOKS", len(keys), len(ids), int(narrow[2])) + keys.tobytes() + np.array(lengths, "<u4").tobytes() + ids.astype(narrow).tobytes()
+    return _HEAD.pack(b"TOKS", len(keys), len(ids), int(narrow[2])) + keys.tobytes() + np.array(lengths, "<u4").tobytes() + np.packbits([d is None for d in doc_ids]).tobytes() + ids.astype(narrow).tobytes()
 
 
 def unframe(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
@@ -44,8 +44,9 @@ def unframe(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     at = _HEAD.size
     keys = np.frombuffer(raw, "<i8", n, at)
     lengths = np.frombuffer(raw, "<u4", n, at + 8 * n)
-    ids = np.frombuffer(raw, f"<u{width}", total, at + 12 * n)
-    return [None if k == _NULL else k for k in keys.tolist()], lengths, ids.astype("<u4")
+    nulls = np.unpackbits(np.frombuffer(raw, np.uint8, -(-n // 8), at + 12 * n), count=n)
+    ids = np.frombuffer(raw, f"<u{width}", total, at + 12 * n + -(-n // 8))
+    return [None if x else k for k, x in zip(keys.tolist(), nulls.tolist())], lengths, ids.astype("<u4")
 
 
 class ArchiveWriter:

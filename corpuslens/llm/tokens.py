@@ -12,6 +12,9 @@ import pyarrow.compute as pc
 _PLAIN = r"^(?P<a>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<b>[!-&(-/:-@\[-`{-~]*)$"
 #: The signs by which byte-level vocabularies write bytes from 128 on: the byte's own, or, for those that do not print, the next free from 256 on.
 _BYTE_SIGNS = {b: 256 + 34 + i for i, b in enumerate([*range(128, 161), 173])}
+#: A space beside other white space, where a text can't be cut: between two signs of it, after one at the end, or twice. All signs that any library takes for white space are here.
+_SPACE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{180E}\x{2000}-\x{200D}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+_UNCUT = rf"{_SPACE} (?:{_SPACE}|\z)|  "
 #: Pieces kept by one worker; a full cache is emptied, so memory is bounded.
 CACHE_PIECES = 1_000_000
 #: Words handed to the library as one text.
@@ -31,7 +34,9 @@ class WordEncoder:
 
     Both public vocabularies split a text before their merges, and always before a space that
     stands between two other characters. So the ids of a text are those of its pieces, and a
-    piece is encoded once. A text with two spaces in a row is encoded as it is.
+    piece is encoded once, a plain word by a second tokenizer of the same merges. A text with such
+    white space that this does not hold, or with a token that the library finds before it splits, is
+    encoded as it is.
     """
 
     def __init__(self, path: str):
@@ -39,7 +44,7 @@ class WordEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
+        self.added = [a.content for a in t.get_added_tokens_decoder().values()]
         # the same merges without the splitting that plain words do not need
         self.merges = Tokenizer(t.model)
         self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
@@ -122,10 +127,17 @@ class WordEncoder:
         ids, ends = self._gather(units.ravel())
         return ids, ends[1::2]
 
+    def _odd(self, column: pa.Array) -> pa.Array:
+        """Whether the library has to see a text as a whole."""
+        out = pc.match_substring_regex(column, _UNCUT)
+        for a in self.added:
+            out = pc.or_(out, pc.match_substring(column, a, ignore_case=True))
+        return out
+
     def _spaced(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """As encode; a text with two spaces in a row counts as empty."""
+        """As encode; a text that is encoded as it is counts as empty."""
         column = pc.fill_null(column, "")
-        odd = pc.match_substring(column, "  ")
+        odd = self._odd(column)
         if pc.any(odd).as_py():
             column = pc.if_else(odd, "", column)
         lists = pc.split_pattern(column, " ")
@@ -146,7 +158,7 @@ class WordEncoder:
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and where each text's begin (and the last ends); null is empty."""
-        odd = np.flatnonzero(pc.match_substring(pc.fill_null(column, ""), "  ").to_numpy(zero_copy_only=False))
+        odd = np.flatnonzero(self._odd(pc.fill_null(column, "")).to_numpy(zero_copy_only=False))
         ids, bounds = self._spaced(column)
         if not len(odd):
             return ids, bounds
