@@ -43,6 +43,29 @@ def test_decontamination_matches_brute_force(spark):
     assert decontaminate.overlaps(docs.limit(0), bench).count() == 0
 
 
+def test_columns_of_any_name_are_carried(spark):
+    docs = spark.createDataFrame([(1, "one two", "a", "b", 3, "k", 5), (1, "one two", "a", "b", 3, "k", 5)], "doc_id long, text string, _items string, spans string, n int, kept string, _n int")
+    bench = spark.createDataFrame([(5, "one two", "x")], "item_id long, text string, names string")
+    out = decontaminate.overlaps(docs, bench).collect()
+    assert len(out) == 2 and all((r.doc_id, r.text, r._items, r.n, r.kept, r._n, r.spans, r.n_items) == (1, "one two", "a", 3, "k", 5, [[0, 2]], 1) for r in out)
+
+
+def test_a_matcher_is_bounded_by_its_text():
+    import random
+    import tracemalloc
+
+    rng = random.Random(1)
+    items = [[f"w{rng.randrange(10**6)}".encode() for _ in range(200)] for _ in range(400)] + [[b"the", f"v{i}".encode(), b"a", b"b", b"c", b"d", b"of", b"it"] for i in range(2000)]
+    size = sum(len(w) + 1 for i in items for w in i)
+    tracemalloc.start()
+    m = decontaminate.Matcher(items)
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert held < 50 * size
+    for k in (0, 399, 400, 2399):
+        assert m.spans_and_items([b"x", *items[k], b"y"]) == ([[1, 1 + len(items[k])]], {k})
+
+
 def test_decontamination_query(spark, small):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
     items = [tuple(r) for r in spark.read.parquet(f"{small}/benchmark.parquet").select("item_id", "text").collect()]
