@@ -24,6 +24,8 @@ FIT_DOCS, ROUNDS = 150, 3
 FLOOR = 1e-7
 #: Words whose scores a task keeps, and the length up to which words are scored together without logarithms.
 KEPT_WORDS, SHORT = 400_000, 36
+#: Words whose scores are summed at once, so that a text of any length takes bounded memory.
+WORDS_AT_ONCE = 1 << 18
 #: Characters of longer words that the fit sums over at once.
 LONG_AT_ONCE = 200_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -31,21 +33,24 @@ UNDETERMINED = "und"
 
 
 def vocabulary(path: str) -> list[str]:
-    """Lower-case letter pieces of a sentencepiece model, with its mark for a word's start."""
+    """All pieces of letters and their marks of a sentencepiece model, in lower case, with its mark for a word's start."""
+    import unicodedata
+
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = {sp.id_to_piece(i).lower() for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
-    return sorted(p for p in pieces if p.lstrip("▁").isalpha() and "▁" not in p[1:])
+    return sorted(p for p in pieces if p.strip("▁") and "▁" not in p[1:] and all(unicodedata.category(c)[0] in "LM" for c in p.removeprefix("▁")))
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Where each text's words begin (and the last ends), each word's number, and the distinct words: runs of letters, lower case, after a mark."""
+    """Where each text's words begin (and the last ends), each word's number, and the distinct words: runs of letters and their marks, lower case, after a mark; empty for a run without letters."""
     t = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"[^\p{L}\p{M}]+", " ")
     lists = pc.split_pattern(pc.utf8_trim(t, " "), " ")
     offsets = lists.offsets.to_numpy().astype(np.int64)
     coded = lists.flatten().dictionary_encode()
-    return offsets - offsets[0], coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), ["▁" + w if w else "" for w in coded.dictionary.to_pylist()]
+    lettered = pc.match_substring_regex(coded.dictionary, r"\p{L}").to_pylist()
+    return offsets - offsets[0], coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), ["▁" + w if x else "" for w, x in zip(coded.dictionary.to_pylist(), lettered)]
 
 
 class Pieces:
@@ -252,12 +257,15 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text", carry: list[st
                     scores = np.concatenate([scores, np.zeros_like(scores)])
                 scores[rows[new]] = m.log_likelihoods(words)
                 known.update(zip(words, rows[new].tolist()))
-            each = scores[rows][at]
-            each = np.concatenate([each, np.zeros((1, len(langs)))])
-            total = np.add.reduceat(each, offsets[:-1], axis=0) if len(texts) else np.zeros((0, len(langs)))
-            blank = np.array([not w for w in names], bool)
-            letters = np.add.reduceat(np.append(~blank[at], False).astype(np.int64), offsets[:-1])
-            empty = (letters == 0) | (np.diff(offsets) == 0)
+            total, words, own = np.zeros((len(texts), len(langs))), np.zeros(len(texts), np.int64), scores[rows]
+            real = np.array([bool(w) for w in names], bool)
+            text_of = np.repeat(np.arange(len(texts)), np.diff(offsets))
+            for i in range(0, len(at), WORDS_AT_ONCE):
+                part, of = at[i : i + WORDS_AT_ONCE], text_of[i : i + WORDS_AT_ONCE]
+                words += np.bincount(of, real[part], len(texts)).astype(np.int64)
+                for k in range(len(langs)):
+                    total[:, k] += np.bincount(of, own[part, k], len(texts))
+            empty = words == 0
             best = total.argmax(axis=1)
             post = 1 / np.exp(total - total.max(axis=1)[:, None]).sum(axis=1)
             return pa.array([UNDETERMINED if e else langs[b] for e, b in zip(empty.tolist(), best.tolist())], pa.string()), pa.array(np.where(empty, 0.0, post))

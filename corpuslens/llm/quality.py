@@ -2,11 +2,17 @@
 
 A linear model of text statistics is fitted to trusted positives and unlabelled documents by the
 non-negative unbiased risk: ``prior * R_p(+1) + max(0, R_u(-1) - prior * R_p(-1))`` with sigmoid loss.
+The prior is estimated from the scores that a first fit gives to both, not from any negative label: the share
+of unlabelled documents over a threshold bounds the share of positives, at best where few negatives are over it.
+
+The features are shares of kinds of bytes, words and lines, since junk differs from prose in these whatever
+its language or subject, and they cost one pass over the text.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from operator import eq
 
 import numpy as np
@@ -78,26 +84,49 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int
     return Model(mean, spread, w[:-1], float(w[-1]))
 
 
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, confidence: float = 0.1) -> float:
+    """The share of positives among the unlabelled, from scores of both that their model was not fitted to.
+
+    Best-bin estimate: of all thresholds that with the least upper bound (by Dvoretzky, Kiefer and Wolfowitz) of
+    the unlabelled share over it, divided by that of the positives.
+    """
+    if not len(positive) or not len(unlabelled):
+        return 0.5
+    at = np.unique(np.concatenate([positive, unlabelled]))
+    share = lambda x: 1 - np.searchsorted(np.sort(x), at, "left") / len(x)
+    slack = lambda x: math.sqrt(math.log(4 / confidence) / (2 * len(x)))
+    p, u = share(positive), share(unlabelled)
+    bound = np.where(p > 0, (u + slack(unlabelled) + slack(positive)) / np.maximum(p, 1e-12), np.inf)
+    best = int(bound.argmin())
+    return min(0.98, max(0.05, float(u[best] / p[best])))
+
+
+def train_with_estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> Model:
+    """Fit to every second row with a prior of one half, estimate the prior on the other rows, and fit to all rows with it."""
+    first = train(positive[::2], unlabelled[::2], 0.5)
+    return train(positive, unlabelled, estimated_prior(first.score(positive[1::2]), first.score(unlabelled[1::2])))
+
+
 def _featured(docs: DataFrame, text: str, carry: list[str]) -> DataFrame:
     return map_columns(docs, lambda: lambda t: [pa.array([features(x) for x in as_bytes(t)], pa.list_(pa.float64()))], [text], "x array<double>", carry)
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, held_out: str = "crc32(cast(cast(doc_id as string) as binary)) % 3 = 1", fit_positive: int = FIT_POSITIVE, fit_unlabelled: int = FIT_UNLABELLED) -> Model:
     """A model from a bounded sample, the first by a hash of doc_id: positives are rows of ``labels`` with quality 1 that are not
-    held out, the unlabelled are documents whatever their label. The class prior is the share of positives among labelled rows
-    that are not held out, kept within 0.05 and 0.98.
+    held out, the unlabelled are documents whatever their label. Labels of quality 0 are not read.
+
+    Null doc_ids and labels take no part; repeated rows of a document all count. Without positives or documents every score is one half.
     """
-    use = labels.select("doc_id", "quality").where(f"doc_id is not null and quality is not null and not ({held_out})")
-    share = use.agg(F.avg((F.col("quality") == 1).cast("double"))).first()[0]
-    prior = min(0.98, max(0.05, share if share is not None else 0.5))
+    use = labels.select("doc_id", "quality").where(f"doc_id is not null and quality = 1 and not ({held_out})")
     known = docs.select("doc_id").where("doc_id is not null").distinct()
     hashed = F.xxhash64("doc_id")
-    good = use.where("quality = 1").select("doc_id").distinct().join(known, "doc_id", "left_semi").orderBy(hashed).limit(fit_positive).withColumn("part", F.lit(1))
+    good = use.select("doc_id").distinct().join(known, "doc_id", "left_semi").orderBy(hashed).limit(fit_positive).withColumn("part", F.lit(1))
     other = known.where(f"not ({held_out})").orderBy(F.xxhash64("doc_id", F.lit(1))).limit(fit_unlabelled).withColumn("part", F.lit(0))
     wanted = good.unionByName(other).groupBy("doc_id").agg(F.collect_set("part").alias("parts"))
-    rows = _featured(docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id"), "text", ["parts"]).collect()  # bounded by the two limits
+    rows = _featured(docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id"), "text", ["doc_id", "parts"]).collect()  # bounded by the two limits
+    rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.x))  # whatever the order of the table
     get = lambda k: np.array([r.x for r in rows if k in r.parts]).reshape(-1, len(features(None)))
-    return train(get(1), get(0), prior)
+    return train_with_estimated_prior(get(1), get(0))
 
 
 def score(docs: DataFrame, model: Model, *, text: str = "text", carry: list[str] | None = None) -> DataFrame:

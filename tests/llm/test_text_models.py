@@ -149,3 +149,66 @@ def test_expectations_take_long_words():
     want, out = langid.expected(find, short, np.array([2.0, 3.0]), prob), np.zeros(len(prob))
     langid._expected_long(find, langid.codes_of(short, np.arange(2), 7), np.array([2.0, 3.0]), prob, out)
     assert np.allclose(out, want)
+
+
+def test_marks_alone_are_no_language_and_scripts_without_spaces_are_learned(spark):
+    bounded_batches(spark)
+    chinese = ["我们今天去学校学习新的知识", "他们明天去公园看花和树木", "老师说学生要认真学习和思考"]
+    english = ["we go to school today to learn new things", "they will see flowers and trees in the park", "the teacher says that students think"]
+    rows = [(i, t * 30, lang) for i, (t, lang) in enumerate([(c, "zh") for c in chinese * 2] + [(e, "en") for e in english * 2])]
+    m = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), public_tokenizers.path("piece_bpe_32k.model"))
+    odd = ["́̈ ि", "1́", "我们学习知识" * 900, "students learn", "a", "́a", "12 3 a 4"]
+    out = {r.doc_id: r for r in langid.predict(spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string"), m).collect()}
+    assert [out[i].lang_pred for i in (0, 1, 2, 3)] == ["und", "und", "zh", "en"]
+    assert all(out[i].lang_pred != "und" for i in (4, 5, 6))
+    pieces = langid.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    assert len(pieces) == len(set(pieces)) and all(p.count("▁") == p.startswith("▁") for p in pieces)
+
+
+def test_scores_of_texts_match_sums_over_their_words(spark):
+    """The posterior of a text, from the summed segmentations of each of its words one by one."""
+    bounded_batches(spark)
+    pieces = ["a", "ab", "b", "▁", "▁a", "c"]
+    prob = np.random.default_rng(7).random((len(pieces) + 1, 3)) / 3
+    m = langid.Model(pieces, ["x", "y", "z"], prob)
+    texts = ["ab a", "AB, ab; cab", "c" * 9 + " b", "abz zab", "ab " * 50]
+    out = {r.doc_id: r for r in langid.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), m).collect()}
+    for i, t in enumerate(texts):
+        words = ["▁" + w for w in "".join(c if c.isalpha() else " " for c in t.lower()).split()]
+        total = np.array([sum(np.log(brute_likelihood(w, pieces, prob[:, k])) for w in words) for k in range(3)])
+        post = np.exp(total - total.max())
+        assert out[i].lang_pred == "xyz"[total.argmax()] and np.isclose(out[i].score, post.max() / post.sum())
+
+
+def test_prior_is_estimated_without_negative_labels():
+    rng = np.random.default_rng(1)
+    n = len(quality.features(None))
+    for share in (0.2, 0.5, 0.8):
+        good, some, bad = rng.normal(1, 1, (2000, n)), rng.normal(1, 1, (int(4000 * share), n)), rng.normal(-1, 1, (4000 - int(4000 * share), n))
+        unlabelled = rng.permutation(np.concatenate([some, bad]))
+        first = quality.train(good[::2], unlabelled[::2], 0.5)
+        assert abs(quality.estimated_prior(first.score(good[1::2]), first.score(unlabelled[1::2])) - share) < 0.06
+        m = quality.train_with_estimated_prior(good, unlabelled)
+        assert (m.score(some) >= 0.5).mean() > 0.95 and (m.score(bad) < 0.5).mean() > 0.95
+
+
+def test_risk_is_the_non_negative_one():
+    """The gradient steps lower the risk as written down row by row."""
+    rng = np.random.default_rng(2)
+    n = len(quality.features(None))
+    p, u = rng.normal(0.3, 1, (80, n)), rng.normal(-0.3, 1, (160, n))
+
+    def risk(m, prior):
+        loss = lambda x, y: np.mean([1 / (1 + np.exp(y * z)) for z in np.log(m.score(x) / (1 - m.score(x)))])
+        return prior * loss(p, 1) + max(0.0, loss(u, -1) - prior * loss(p, -1))
+
+    for prior in (0.3, 0.6):
+        assert risk(quality.train(p, u, prior), prior) < risk(quality.train(p, u, prior, steps=3), prior) - 0.02
+
+
+def test_quality_reads_no_negative_labels(spark):
+    bounded_batches(spark)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "quality")
+    a, b = (quality.fit(docs, x) for x in (labels, labels.where("quality = 1")))
+    assert np.array_equal(a.weight, b.weight) and a.bias == b.bias
