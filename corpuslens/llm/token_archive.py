@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_folder
+from .common import map_batches, new_folder
 from .files import reading, written
 from .tokens import encoder
 
@@ -159,7 +159,7 @@ def write_archives(docs: DataFrame, tokenizer: str, folder: str, *, end_id: int
             w.close()
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name]), pa.array([n], pa.int64()), pa.array([total], pa.int64())], names=["part", "name", "n_docs", "n_ids"])
 
-    made = d.mapInArrow(run, "part int, name string, n_docs bigint, n_ids bigint").collect()  # a row a file
+    made = map_batches(d, run, "part int, name string, n_docs bigint, n_ids bigint").collect()  # a row a file
     return sorted(tuple(r) for r in made)
 
 
@@ -187,7 +187,7 @@ def read_archives(spark: SparkSession, folder: str, files: list[tuple[int, str,
                         yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(at + begins), pa.array(lengths.astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
                         at += int(ends[-1])
 
-    return todo.mapInArrow(run, schema)
+    return map_batches(todo, run, schema)
 
 
 def archive_documents(docs: DataFrame, tokenizer: str, *, end_id: int = 0) -> DataFrame:

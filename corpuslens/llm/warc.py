@@ -15,13 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_folder
+from .common import map_batches, new_folder
 from .files import reading, written
 
 #: Bytes of a chunk, and of what the reader takes from a file at once.
 CHUNK_BYTES = 1 << 20
 #: Smaller payloads are never revisits.
 LEAST_SHARED = 100
+#: Parts that the pages of one digest are dealt out to.
+SALTS = 32
 _SPACE = uuid.UUID("8f0f0f5e-3d0c-5f7b-9d6e-6f2f8a1c2b3d")
 _COLUMNS = "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, chunk int, chunks int, data binary"
 
@@ -38,7 +40,10 @@ def records(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", htm
     p = p.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha2("payload", 256)})
     large = p.where(F.col("payload_bytes") >= least).select("page_id", "payload_digest")
     first = large.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1 and refers_to is not null").drop("n")
-    again = large.join(first, "payload_digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).distinct()
+    # a third of all pages may be one error page: its digest is dealt out
+    first = first.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    large = large.withColumn("_salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+    again = large.join(first, ["payload_digest", "_salt"]).drop("_salt").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).distinct()
     known, unknown = again.where("page_id is not null").alias("r"), again.where("page_id is null").alias("r")
     revisits = known.unionByName(unknown).withColumnsRenamed({"page_id": "_page", "payload_digest": "_digest"})
     out = p.join(revisits, p.page_id.eqNullSafe(F.col("_page")) & (p.payload_digest == F.col("_digest")), "left").drop("_page", "_digest")
@@ -54,8 +59,9 @@ def chunk_table(recs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     return r.select("page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", F.col("chunk").cast("int").alias("chunk"), "chunks", data.alias("data"))
 
 
-def record_id(page_id: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'page:{page_id}')}>"
+def record_id(page_id: int | None, digest: str, place: str = "") -> str:
+    """The id of the response of a payload; ``place`` tells revisits, and pages without an id, apart."""
+    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'page:{page_id}:{digest}:{place}')}>"
 
 
 def _clean(value: str | None) -> str:
@@ -63,13 +69,13 @@ def _clean(value: str | None) -> str:
     return "" if value is None else value.replace("\r", "%0D").replace("\n", "%0A")
 
 
-def head_of(page_id: int | None, url: str | None, kind: str, refers_to: int | None, size: int, digest: str) -> bytes:
+def head_of(page_id: int | None, url: str | None, kind: str, refers_to: int | None, size: int, digest: str, place: str = "") -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Target-URI: {_clean(url)}", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: application/http; msgtype=response"]
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id, digest, place if kind == 'revisit' or page_id is None else '')}", f"WARC-Target-URI: {_clean(url)}", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: application/http; msgtype=response"]
     if page_id is not None:
         lines.append(f"X-Page-Id: {page_id}")
     if kind == "revisit":
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to)}", f"X-Refers-To-Page-Id: {refers_to}"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to, digest)}", f"X-Refers-To-Page-Id: {refers_to}"]
     lines.append(f"Content-Length: {len(http) + (size if kind == 'response' else 0)}")
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + http
 
@@ -90,7 +96,7 @@ def write_archives(chunks: DataFrame, folder: str) -> list[str]:
                 for page, url, kind, to, size, want, chunk, chunks_of, data in zip(*(c.to_pylist() for c in batch.columns)):
                     if chunk == 0:
                         packer, digest = zlib.compressobj(1, zlib.DEFLATED, 31), hashlib.sha256()
-                        out.write(packer.compress(head_of(page, url, kind, to, size, want)))
+                        out.write(packer.compress(head_of(page, url, kind, to, size, want, f"{name}/{n}")))
                     if data:
                         digest.update(data)
                         out.write(packer.compress(data))
@@ -102,7 +108,7 @@ def write_archives(chunks: DataFrame, folder: str) -> list[str]:
                 batch = next(batches, None)
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], names=["name", "n"])
 
-    return sorted(r["name"] for r in chunks.mapInArrow(run, "name string, n bigint").collect())  # a row a file
+    return sorted(r["name"] for r in map_batches(chunks, run, "name string, n bigint").collect())  # a row a file
 
 
 def members(file, chunk_bytes: int = CHUNK_BYTES) -> Iterator[Iterator[bytes]]:
@@ -172,7 +178,8 @@ def read_archives(spark: SparkSession, folder: str, names: list[str]) -> DataFra
                     if rows:
                         yield pa.RecordBatch.from_pylist(rows, types)
 
-    return spark.createDataFrame([(n,) for n in names], "name string").repartition(len(names), "name").mapInArrow(run, schema)
+    files = spark.createDataFrame([(n,) for n in names], "name string").repartition(len(names), "name")
+    return map_batches(files, run, schema)
 
 
 def archive_pages(pages: DataFrame) -> DataFrame:
