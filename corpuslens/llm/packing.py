@@ -24,7 +24,9 @@ from .tokens import encoder
 
 #: Branches that the search for a plan tries after its first dive, and fillings that it looks at in each. They bound the driver's
 #: time, not the plan's quality at the first dive; the incumbent stands when they run out. None for no bound: then the plan is optimal.
-BRANCHES, FILLINGS = 600, 8
+BRANCHES, FILLINGS = 100, 8
+#: Dominated fillings that it passes over in a branch.
+PASSED = 64
 #: Rows that are ranked in one task at about the most.
 RANKED_ROWS = 100_000
 
@@ -59,10 +61,11 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, end_i
 Pattern = tuple[tuple[int, int], ...]  # (length, how many), the largest length first
 
 
-def fillings(counts: np.ndarray, room: int) -> Iterator[Pattern]:
+def fillings(counts: np.ndarray, room: int, passed: int | None = None) -> Iterator[Pattern]:
     """Undominated fillings of ``room`` by lengths that have a count left, the fullest first, of equally full ones that with larger lengths.
 
-    One that could take a further length, or a larger one in place of one or more of its own, is dominated.
+    One that could take a further length, or a larger one in place of one or more of its own, is dominated. The
+    first filling never is; with ``passed`` the list ends after so many that are.
     """
     have = np.flatnonzero(counts[: room + 1])
     have = have[have > 0][::-1].tolist()
@@ -99,6 +102,10 @@ def fillings(counts: np.ndarray, room: int) -> Iterator[Pattern]:
             for f in of_sum(0, total):
                 if not _dominated(f, counts, room - total):
                     yield f
+                elif passed is not None:
+                    passed -= 1
+                    if passed < 0:
+                        return
 
 
 def _dominated(filling: Pattern, counts: np.ndarray, slack: int) -> bool:
@@ -176,7 +183,7 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[Pattern, int]]:
     return [x for group in by_room.values() for x in group]
 
 
-def plan(counts: np.ndarray, capacity: int, *, branches: int | None = BRANCHES, width: int | None = FILLINGS) -> list[tuple[Pattern, int]]:
+def plan(counts: np.ndarray, capacity: int, *, branches: int | None = BRANCHES, width: int | None = FILLINGS, passed: int | None = PASSED) -> list[tuple[Pattern, int]]:
     """Patterns and how many sequences have each: as few sequences as the search finds, never more than by best fit decreasing.
 
     Depth-first bin completion without recursion. A state (the counts left) is entered again only with fewer sequences than before.
@@ -196,7 +203,7 @@ def plan(counts: np.ndarray, capacity: int, *, branches: int | None = BRANCHES,
         largest = int(np.flatnonzero(c)[-1])
         c = c.copy()
         c[largest] -= 1
-        for i, f in enumerate(fillings(c, capacity - largest)):
+        for i, f in enumerate(fillings(c, capacity - largest, passed)):
             if width is not None and i >= width:
                 return
             pattern = ((largest, f[0][1] + 1), *f[1:]) if f and f[0][0] == largest else ((largest, 1), *f)
@@ -207,9 +214,11 @@ def plan(counts: np.ndarray, capacity: int, *, branches: int | None = BRANCHES,
 
     stack.append((counts, 0, ways(counts) if counts.any() else iter(())))
     while stack and best_used > bound:
+        if dived and left is not None and left <= 0:
+            break
         c, used, rest = stack[-1]
         step = next(rest, None)
-        if step is None or (dived and left is not None and left <= 0):
+        if step is None:
             stack.pop()
             if made:
                 made.pop()

@@ -96,7 +96,7 @@ def test_plan_needs_as_few_bins_as_an_exhaustive_search():
         counts = np.bincount(sizes, minlength=21)
         best = brute_bins(sizes, 20)
         assert packing.lower_bound(counts, 20) <= best
-        for limits in ({}, {"branches": None, "width": None}):
+        for limits in ({}, {"branches": None, "width": None, "passed": None}):
             made = packing.plan(counts, 20, **limits)
             assert held(made, 20) == counts.tolist()
             assert sum(k for _, k in made) == best
