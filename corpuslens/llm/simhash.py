@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, expand_rows, map_batches, map_columns
+from .common import as_bytes, cut, expand_rows, groups_of, map_batches, map_columns
 from .components import roots
 
 #: Lower-cases A-Z only.
@@ -33,6 +33,8 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 FIRST_BITS, MORE_BITS = 12, 6
 #: Rows of a node pair above which it is dealt out, and rows of a task at about the most.
 TASK_ROWS = 200_000
+#: The same for tries of wide fingerprints, whose node pairs are many more, and rows that are joined at once.
+WIDE_TASK_ROWS, WIDE_AT_ONCE = 50_000, 30_000
 #: Leaf pairs compared at once.
 _AT_ONCE = 1 << 20
 SHINGLE, SEED = 4, 42
@@ -346,7 +348,8 @@ def links(prints: DataFrame, budget: int = 4, task_rows: int = TASK_ROWS) -> Dat
         prints = prints.select("fp", F.lit(0).cast("long").alias("trie"))
     tasks = trie_tasks(prints, budget, task_rows)
     n = prints.count() * (budget + 1)
-    tasks = tasks.repartition(max(1, min(-(-n // 20_000), prints.sparkSession.sparkContext.defaultParallelism * 4) if n < task_rows * 64 else -(-n // task_rows)), *_TASK)
+    parts = min(-(-n // 20_000), prints.sparkSession.sparkContext.defaultParallelism * 4)
+    tasks = tasks.repartition(max(1, -(-n // WIDE_TASK_ROWS) if wide else parts if n < task_rows * 64 else -(-n // task_rows)), *_TASK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
@@ -366,23 +369,31 @@ def links(prints: DataFrame, budget: int = 4, task_rows: int = TASK_ROWS) -> Dat
         itself = a[new] == b[new]
         al, ah, bl, bh = new, np.where(itself, ends, mids), np.where(itself, new, mids), ends
         live = (ah > al) & (bh > bl)
-        close = None
-        if wide:
-            name = t.column("node").to_numpy()[order]
-            words = np.frombuffer(b"".join(t.column("words").to_pylist()), np.uint64).reshape(-1, WORDS)[order]
-
-            def close(x, y):
+        pairs = [x[live] for x in (al, ah, bl, bh, err[new], depth[new])]
+        if not wide:
+            name = rotated(v, r, budget, back=True).view(np.int64)
+            for u, w in trie_join(v, r, pairs, budget).pairs:
+                yield pa.RecordBatch.from_arrays([pa.array(name[u]), pa.array(name[w])], names=["u", "v"])
+            return
+        name = t.column("node").to_numpy()[order]
+        column = t.column("words").combine_chunks()
+        begin = int(np.frombuffer(column.buffers()[1], np.int32)[column.offset])
+        words = np.frombuffer(column.buffers()[2], np.uint64, len(column) * WORDS, begin).reshape(-1, WORDS)[order]
+        # a node pair's rows are neighbours: some pairs at a time, so that few rows are joined at once
+        for i, j in groups_of((pairs[3] - pairs[0]).tolist(), WIDE_AT_ONCE):
+            lo, hi = int(pairs[0][i]), int(pairs[3][j - 1])
+            some = words[lo:hi]
+
+            def close(x, y, some=some):
                 out = np.zeros(len(x), bool)
-                for i in range(0, len(x), 1 << 18):
-                    p, q = x[i : i + (1 << 18)], y[i : i + (1 << 18)]
-                    out[i : i + (1 << 18)] = np.bitwise_count(words[p] ^ words[q]).sum(axis=1) <= FAR
+                for k in range(0, len(x), 1 << 18):
+                    p, q = x[k : k + (1 << 18)], y[k : k + (1 << 18)]
+                    out[k : k + (1 << 18)] = np.bitwise_count(some[p] ^ some[q]).sum(axis=1) <= FAR
                 return out
 
-        else:
-            name = rotated(v, r, budget, back=True).view(np.int64)
-        forest = trie_join(v, r, [x[live] for x in (al, ah, bl, bh, err[new], depth[new])], budget, close)
-        for u, w in forest.pairs:
-            yield pa.RecordBatch.from_arrays([pa.array(name[u]), pa.array(name[w])], names=["u", "v"])
+            part = [x[i:j] - (lo if k < 4 else 0) for k, x in enumerate(pairs)]
+            for u, w in trie_join(v[lo:hi], r[lo:hi], part, budget, close).pairs:
+                yield pa.RecordBatch.from_arrays([pa.array(name[lo + u]), pa.array(name[lo + w])], names=["u", "v"])
 
     return map_batches(tasks, run, "u bigint, v bigint")
 
@@ -425,7 +436,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return map_batches(both.select("u", "v", "a", "b"), run, "u bigint, v bigint")
 
 
-def similar_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", task_rows: int = TASK_ROWS) -> DataFrame:
+def similar_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", task_rows: int = WIDE_TASK_ROWS) -> DataFrame:
     """doc_id, component_id: the smallest doc_id reachable over pairs of texts whose sets of five-word shingles are 0.8 similar or more, for every row.
 
     Pairs are found by their wide fingerprints, so a few of similarity near 0.8 may be missed (of similarity 0.8
