@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -56,6 +57,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def give_back() -> None:
+    """Return what a task has freed to the machine: workers live on, and an executor's memory is counted with theirs."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def map_columns(
     df: DataFrame,
     make: Callable[[], Callable[..., Sequence]],
@@ -82,6 +92,7 @@ def map_columns(
             if b.num_rows:
                 made = [x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in fn(*b.columns[n:])]
                 yield pa.RecordBatch.from_arrays([*b.columns[:n], *made], names=names)
+        give_back()
 
     mapped = src.mapInArrow(run, out)
     return mapped.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)], *[F.col(f"n{i}").alias(f.name) for i, f in enumerate(new)])

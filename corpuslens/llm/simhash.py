@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, expand_rows, groups_of, map_batches, map_columns
+from .common import as_bytes, cut, expand_rows, give_back, groups_of, map_batches, map_columns
 from .components import roots
 
 #: Lower-cases A-Z only.
@@ -394,6 +394,7 @@ def links(prints: DataFrame, budget: int = 4, task_rows: int = TASK_ROWS) -> Dat
             part = [x[i:j] - (lo if k < 4 else 0) for k, x in enumerate(pairs)]
             for u, w in trie_join(v[lo:hi], r[lo:hi], part, budget, close).pairs:
                 yield pa.RecordBatch.from_arrays([pa.array(name[lo + u]), pa.array(name[lo + w])], names=["u", "v"])
+        give_back()
 
     return map_batches(tasks, run, "u bigint, v bigint")
 

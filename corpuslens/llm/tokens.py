@@ -16,7 +16,7 @@ _BYTE_SIGNS = {b: 256 + 34 + i for i, b in enumerate([*range(128, 161), 173])}
 _SPACE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{180E}\x{2000}-\x{200D}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 _UNCUT = rf"{_SPACE} (?:{_SPACE}|\z)|  "
 #: Pieces kept by one worker; a full cache is emptied, so memory is bounded.
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 300_000
 #: Words handed to the library as one text.
 _TOGETHER = 32
 _held: dict[str, "WordEncoder"] = {}
