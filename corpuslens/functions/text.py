@@ -8,7 +8,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 # Stop words that the word view leaves out.
-STOP_WORDS = "the a an of in on for to and or is are was were be been being this that these those it its as at by with from into not no can could may might will would should we our their they he she his her which who what when where how than then such also using used use one two".split()
+STOP_WORDS = (
+    "a an and are as at be by for from has he in is it its of on that the to was were will with this these those which who we our you your they "
+    "their them not no can may also been being have had but or if than then so such into over under more most some any all"
+).split()
+# Endings that the crude stem takes off, the first that fits.
+CRUDE_ENDINGS = ("ization", "ational", "tion", "ment", "ness", "ing", "ed", "es", "ly", "s")
 
 
 def plain_tokens(text: Column) -> Column:
@@ -29,17 +34,27 @@ def trigrams(word: Column) -> Column:
 
 
 def stem(word: Column) -> Column:
-    """Inflections only: ies to y, es after a hissing sound, s but not ss, us or is, ing and ed with undoubling."""
+    """Inflections only, of words of more than four signs: first the plural, then ing or ed of what is left, with undoubling."""
+    cut = lambda w, k: F.left(w, F.length(w) - k)
     n = F.length(word)
-    cut = lambda k: F.left(word, n - k)
-    plural = (
-        F.when((n > 4) & word.endswith("ies"), F.concat(cut(3), F.lit("y")))
-        .when((n > 4) & word.rlike("(s|x|z|ch|sh)es$"), cut(2))
-        .when((n > 3) & word.endswith("s") & ~word.rlike("(ss|us|is)$"), cut(1))
+    single = (
+        F.when((n > 5) & word.endswith("ies"), F.concat(cut(word, 3), F.lit("y")))
+        .when(word.rlike("(sses|shes|ches|xes|zes)$"), cut(word, 2))
+        .when(word.endswith("s") & ~word.rlike("(ss|us|is|ics)$"), cut(word, 1))
+        .otherwise(word)
     )
-    bare = F.when((n > 5) & word.endswith("ing"), cut(3)).when((n > 4) & word.endswith("ed"), cut(2))
-    undoubled = F.when(bare.rlike("([b-df-hj-km-np-rtv-xz])\\1$"), F.left(bare, F.length(bare) - 1)).otherwise(bare)
-    return F.coalesce(plural, undoubled, word)
+    m = F.length(single)
+    bare = F.when((m > 5) & single.endswith("ing"), cut(single, 3)).when((m > 4) & single.endswith("ed"), cut(single, 2))
+    doubled = (F.length(bare) > 2) & (F.right(bare, F.lit(1)) == F.left(F.right(bare, F.lit(2)), F.lit(1)))
+    return F.when(n <= 4, word).otherwise(F.coalesce(F.when(doubled, cut(bare, 1)).otherwise(bare), single))
+
+
+def crude_stem(word: Column) -> Column:
+    """The word without the first of the crude endings that it has, if more than three signs are left."""
+    out = F.lit(None).cast("string")
+    for e in CRUDE_ENDINGS:
+        out = F.coalesce(out, F.when((F.length(word) > len(e) + 3) & word.endswith(e), F.left(word, F.length(word) - len(e))))
+    return F.coalesce(out, word)
 
 
 @F.pandas_udf(StringType())

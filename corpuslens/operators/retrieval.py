@@ -6,11 +6,15 @@ shuffle is one of matched postings, and partial sums are taken before the sum pe
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import json
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuslens.functions.text import plain_tokens
 
+from .graph import materialised
+
 #: Query terms that are broadcast at most.
 BROADCAST_TERMS = 200_000
 
@@ -68,3 +72,42 @@ def additive_fusion(lex: DataFrame, exp: DataFrame, weight: float = 0.25) -> Dat
     most = lambda d: d.withColumn("s", F.col("score") / F.max("score").over(Window.partitionBy("qid")))
     a, b = most(lex).select("qid", "doc_id", F.col("s").alias("a")), most(exp).select("qid", "doc_id", F.col("s").alias("b"))
     return a.join(b, ["qid", "doc_id"], "full").select("qid", "doc_id", (F.coalesce("a", F.lit(0.0)) + weight * F.coalesce("b", F.lit(0.0))).alias("score"))
+
+
+class Retriever:
+    """Documents in, ranked hits out: texts with BM25 scores and the metadata that they came with."""
+
+    def __init__(self, spark: SparkSession, min_idf: float = 0.3):
+        self.spark, self.min_idf = spark, min_idf
+        self.corpus: DataFrame | None = None
+        self.index: DataFrame | None = None
+
+    def add_documents(self, documents: list[str] | DataFrame, metadata: list[dict] | None = None) -> "Retriever":
+        """Texts in order (numbered on from those held), or a table of doc_id, text and perhaps meta (a string)."""
+        if isinstance(documents, DataFrame):
+            meta = F.col("meta") if "meta" in documents.columns else F.lit(None).cast("string")
+            more = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", meta.alias("meta"))
+        else:
+            first = (self.corpus.agg(F.max("doc_id")).first()[0] + 1) if self.corpus is not None and self.corpus.limit(1).count() else 0
+            metas = metadata if metadata is not None else [{} for _ in documents]
+            rows = [(first + i, t, json.dumps(m)) for i, (t, m) in enumerate(zip(documents, metas, strict=True))]
+            more = self.spark.createDataFrame(rows, "doc_id bigint, text string, meta string")
+        self.corpus = more if self.corpus is None else self.corpus.unionByName(more)
+        self.index = None
+        return self
+
+    def retrieve_all(self, queries: DataFrame, top_k_: int = 10) -> DataFrame:
+        """qid, rank, doc_id, text, score, meta of the best documents of each query (qid, text)."""
+        if self.index is None:
+            self.index = materialised(postings(self.corpus))
+        terms = queries.select("qid", F.explode(plain_tokens(F.col("text"))).alias("token")).groupBy("qid", "token").agg(F.count(F.lit(1)).alias("qw"))
+        best = top_k(bm25(self.index, terms, min_idf=self.min_idf), top_k_)
+        return self.corpus.join(small(best), "doc_id").select("qid", "rank", "doc_id", "text", "score", "meta")
+
+    def retrieve(self, query: str, top_k: int = 10) -> list[tuple[str, float, dict]]:
+        """(text, score, metadata) of the best documents, the best first."""
+        if self.corpus is None:
+            return []
+        one = self.spark.createDataFrame([(0, query)], "qid bigint, text string")
+        rows = sorted(self.retrieve_all(one, top_k).collect(), key=lambda r: r["rank"])  # at most ``top_k``
+        return [(r.text, r.score, json.loads(r.meta) if r.meta else {}) for r in rows]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.functions.text import nfkc, plain_tokens, stem
+from corpuslens.functions.text import CRUDE_ENDINGS, crude_stem, nfkc, plain_tokens, stem
 from corpuslens.operators import adaptive, evaluation, graph, latent, retrieval
 from corpuslens.session import ship_package
 
@@ -32,7 +32,8 @@ def _terms(items: DataFrame) -> DataFrame:
 
 def _ranked(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     docs, items = _tables(spark, sf_dir)
-    return retrieval.top_k(retrieval.bm25(retrieval.postings(docs), _terms(items), min_idf=0.3), k)
+    # lengths, statistics, weights and hits all read the postings: they are made once
+    return retrieval.top_k(retrieval.bm25(graph.materialised(retrieval.postings(docs)), _terms(items), min_idf=0.3), k)
 
 
 def r1_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +42,7 @@ def r1_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def r9_tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = _tables(spark, sf_dir)
-    post = retrieval.postings(docs)
+    post = graph.materialised(retrieval.postings(docs))
     n = post.select("doc_id").distinct().agg(F.count(F.lit(1)).alias("n"))
     weight = post.groupBy("token").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).select("token", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("w"))
     terms = _terms(items).join(weight, "token")
@@ -50,8 +51,21 @@ def r9_tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """qid, doc_id of documents that hold a benchmark text whole.
+
+    All tokens of a text but its first and last are then tokens of the document, so texts meet documents by the
+    rarest of these. Texts of fewer than three tokens have none, and are looked for in every document.
+    """
     docs, items = _tables(spark, sf_dir)
-    return docs.alias("d").join(retrieval.small(items).alias("b"), F.contains(F.col("d.text"), F.col("b.text"))).select(F.col("item_id").alias("qid"), "doc_id")
+    inner = items.withColumn("tokens", plain_tokens(F.col("text"))).withColumn("tokens", F.when(F.size("tokens") > 2, F.array_distinct(F.slice("tokens", F.lit(2), F.size("tokens") - 2))))
+    own = docs.select("doc_id", F.explode(F.array_distinct(plain_tokens(F.col("text")))).alias("token"))
+    asked = inner.where("tokens is not null").select("item_id", F.explode("tokens").alias("token"))
+    df = own.join(retrieval.small(asked.select("token").distinct()), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    rarest = asked.join(df, "token").groupBy("item_id").agg(F.min_by("token", F.struct("df", "token")).alias("token"))
+    pairs = own.join(retrieval.small(rarest), "token").select("item_id", "doc_id")
+    short = docs.join(retrieval.small(inner.where("tokens is null")).select("item_id", F.col("text").alias("t")), F.contains(F.col("text"), F.col("t"))).select("item_id", "doc_id")
+    found = docs.join(pairs, "doc_id").join(retrieval.small(items.withColumnRenamed("text", "t")), "item_id").where(F.contains(F.col("text"), F.col("t")))
+    return found.select(F.col("item_id").alias("qid"), "doc_id").unionByName(short.select(F.col("item_id").alias("qid"), "doc_id"))
 
 
 def e1_ranking_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,6 +94,24 @@ def tx7_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.groupBy(stem(F.col("word")).alias("stem")).agg(F.sum("n").alias("n"))
 
 
+def tx6_crude_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, _ = _tables(spark, sf_dir)
+    words = docs.select(F.explode(plain_tokens(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return words.groupBy(crude_stem(F.col("word")).alias("stem")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words"))
+
+
+def d4_ordered_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct tokens of each document in the order in which they come first."""
+    docs, _ = _tables(spark, sf_dir)
+    return docs.select("doc_id", F.array_distinct(plain_tokens(F.col("text"))).alias("w")).where("size(w) > 0").select("doc_id", F.size("w").cast("long").alias("n"), F.md5(F.array_join("w", " ")).alias("words_md5"))
+
+
+def r50_retriever(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = _tables(spark, sf_dir)
+    hits = retrieval.Retriever(spark).add_documents(docs.where("text is not null")).retrieve_all(items.withColumnRenamed("item_id", "qid"))
+    return hits.select("qid", "rank", "doc_id", F.md5("text").alias("text_md5"), F.round("score", 6).alias("score"))
+
+
 def j19_dense_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fiftieth vector against all, the nearest five by inner product."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
@@ -162,16 +194,18 @@ _DUCK: dict[str, str] = {
     "e1_ranking_metrics": BASE + ", h as (select r.qid, sum(1 / log2(r.rank + 1)) dcg, count(*) hits, min(r.rank) first_hit from rk r join rel on rel.qid = r.qid and rel.doc_id = r.doc_id where r.rank <= 10 group by 1), n as (select qid, count(*) n from rel group by 1), i as (select qid, n, (select sum(1 / log2(g + 1)) from generate_series(1, least(n, 10)) t(g)) ideal from n) select i.qid, round(coalesce(dcg / ideal, 0), 6) ndcg, round(coalesce(hits / n, 0), 6) recall, round(coalesce(1 / first_hit, 0), 6) mrr, first_hit from i left join h on h.qid = i.qid",
     "fu2_rank_fusion": BASE + ", h as (select q.qid, t.doc_id, count(*) c from qt q join tf t on t.token = q.token group by 1, 2), o as (select qid, doc_id, row_number() over (partition by qid order by c desc, doc_id) rank from h), f as (select qid, doc_id, sum(1 / (60 + rank - 1)) score from (select qid, doc_id, rank from rk where rank <= 50 union all select qid, doc_id, rank from o where rank <= 50) group by 1, 2) select qid, doc_id, rank, round(score, 9) score from (select *, row_number() over (partition by qid order by round(score, 9) desc, doc_id) rank from f) where rank <= 10",
     "fu1_additive_fusion": BASE + ", x as (select q.qid, t.doc_id, sum(t.tf / (t.tf + 1)) score from qt q join tf t on t.token = q.token group by 1, 2), a as (select qid, doc_id, score / max(score) over (partition by qid) a from rk where rank <= 100), b as (select qid, doc_id, score / max(score) over (partition by qid) b from x), f as (select coalesce(a.qid, b.qid) qid, coalesce(a.doc_id, b.doc_id) doc_id, coalesce(a, 0) + 0.25 * coalesce(b, 0) score from a full join b on a.qid = b.qid and a.doc_id = b.doc_id) select qid, doc_id, rank, round(score, 6) score from (select *, row_number() over (partition by qid order by round(score, 9) desc, doc_id) rank from f) where rank <= 10",
-    "tx7_stems": """with w as (select token word, count(*) n from {tok:documents,doc_id,text} t group by 1), b as (select word, n, length(word) l,
-        case when length(word) > 5 and word like '%ing' then left(word, length(word) - 3) when length(word) > 4 and word like '%ed' then left(word, length(word) - 2) end bare from w)
-        select case when l > 4 and word like '%ies' then left(word, l - 3) || 'y' when l > 4 and regexp_matches(word, '(s|x|z|ch|sh)es$') then left(word, l - 2)
-          when l > 3 and word like '%s' and not regexp_matches(word, '(ss|us|is)$') then left(word, l - 1)
-          when bare is not null and length(bare) >= 2 and right(bare, 1) = left(right(bare, 2), 1) and regexp_matches(bare, '[b-df-hj-km-np-rtv-xz]$') then left(bare, length(bare) - 1)
-          else coalesce(bare, word) end stem, cast(sum(n) as bigint) n from b group by 1""",
+    "tx7_stems": """with w as (select token word, count(*) n from {tok:documents,doc_id,text} t group by 1),
+        s as (select word, n, case when length(word) > 5 and word like '%ies' then left(word, length(word) - 3) || 'y' when regexp_matches(word, '(sses|shes|ches|xes|zes)$') then left(word, length(word) - 2)
+          when word like '%s' and not regexp_matches(word, '(ss|us|is|ics)$') then left(word, length(word) - 1) else word end one from w),
+        b as (select word, n, one, case when length(one) > 5 and one like '%ing' then left(one, length(one) - 3) when length(one) > 4 and one like '%ed' then left(one, length(one) - 2) end bare from s)
+        select case when length(word) <= 4 then word when bare is null then one when length(bare) > 2 and right(bare, 1) = left(right(bare, 2), 1) then left(bare, length(bare) - 1) else bare end stem, cast(sum(n) as bigint) n from b group by 1""",
+    "tx6_crude_stems": "with w as (select token word, count(*) n from {tok:documents,doc_id,text} t group by 1) select case " + " ".join(f"when length(word) > {len(e) + 3} and word like '%{e}' then left(word, length(word) - {len(e)})" for e in CRUDE_ENDINGS) + " else word end stem, cast(sum(n) as bigint) n, count(*) words from w group by 1",
+    "d4_ordered_dedup": "with f as (select doc_id, token, min(pos) pos from {tok:documents,doc_id,text} t group by 1, 2) select doc_id, count(*) n, md5(string_agg(token, ' ' order by pos)) words_md5 from f group by 1",
+    "r50_retriever": BASE + "select r.qid, r.rank, r.doc_id, md5(d.text) text_md5, round(r.score, 6) score from rk r join documents d on d.doc_id = r.doc_id where r.rank <= 10",
     "j19_dense_similarity": "with p as (select q.vec_id qid, e.vec_id, list_dot_product(e.embedding::double[], q.embedding::double[]) s from embeddings e join embeddings q on q.vec_id % 50 = 0 and q.vec_id <> e.vec_id) select qid, vec_id, rank, round(s, 6) score from (select *, row_number() over (partition by qid order by round(s, 9) desc, vec_id) rank from p) where rank <= 5",
 }
 
-_FRAMES = (r1_bm25_topk, r9_tfidf_topk, e1_ranking_metrics, fu2_rank_fusion, fu1_additive_fusion, tx7_stems, j19_dense_similarity, g1_theme_clusters, g3_cluster_hubs, tp28_shortest_paths, g12_conflict_schedule, w17_adaptive_threshold, tx4_normalised_text, r53_latent_rerank, r56_saturated_learning)
+_FRAMES = (r1_bm25_topk, r9_tfidf_topk, e1_ranking_metrics, fu2_rank_fusion, fu1_additive_fusion, tx7_stems, tx6_crude_stems, d4_ordered_dedup, r50_retriever, j19_dense_similarity, g1_theme_clusters, g3_cluster_hubs, tp28_shortest_paths, g12_conflict_schedule, w17_adaptive_threshold, tx4_normalised_text, r53_latent_rerank, r56_saturated_learning)
 
 
 #: What a plan does beyond its SQL, where the SQL has nothing: a query without a term under the cap takes its rarest ones.
