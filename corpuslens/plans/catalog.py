@@ -15,12 +15,21 @@ bm as (select q.qid, t.doc_id, sum(i.idf * q.qw * 1.9 * t.tf / (t.tf + 0.9 * 0.6
 rk as (select qid, doc_id, score, m, s, cast(row_number() over (partition by qid order by round(score, 9) desc, doc_id) as bigint) rank from bm)
 """
 
+#: Content words, all of them. Words meet in windows of 48 words, so that the pairs grow with the text and not with its
+#: square; ``wf`` and ``nw`` count windows, ``df`` and ``nd`` documents. Rare is what a fiftieth of the documents or fewer hold.
 CONTENT = """
-with w as {words:documents,doc_id,text}, dw as (select distinct doc_id, token from w), nd as (select count(distinct doc_id) n from dw),
+with w as {words:documents,doc_id,text},
+dw as (select distinct doc_id, token from w),
+nd as (select count(distinct doc_id) n from dw),
 df as (select token, cast(count(*) as bigint) df from dw group by 1),
 rare as (select token, df, ln(1 + (n - df + 0.5) / (df + 0.5)) idf from df cross join nd),
-top as (select doc_id, token, df, idf from (select dw.doc_id, dw.token, r.df, r.idf, row_number() over (partition by dw.doc_id order by r.df desc, dw.token) k from dw join rare r on r.token = dw.token where r.df between 4 and 200) x where k <= 20),
-pairs as (select a.token a, b.token b, cast(count(*) as bigint) c from top a join top b on a.doc_id = b.doc_id and a.token < b.token group by 1, 2)
+top as (select dw.doc_id, dw.token, r.df, r.idf from dw join rare r on r.token = dw.token),
+ww as (select distinct doc_id, cast(floor(pos / 48) as bigint) win, token from w),
+nw as (select count(*) n from (select distinct doc_id, win from ww) x),
+wf as (select token, cast(count(*) as bigint) df from ww group by 1),
+pairs as (select a.token a, b.token b, cast(count(*) as bigint) c from ww a join ww b on a.doc_id = b.doc_id and a.win = b.win and a.token < b.token group by 1, 2),
+dpairs as (select a, b, cast(count(*) as bigint) c from (select distinct a.doc_id, a.token a, b.token b from ww a join ww b on a.doc_id = b.doc_id and a.win = b.win and a.token < b.token) x group by 1, 2),
+links as (select p.a, p.b, p.c from pairs p join wf x on x.token = p.a join wf y on y.token = p.b cross join nw where p.c >= 4 and ln((nw.n * p.c + 1.0) / (x.df * y.df + 1.0)) >= 3)
 """
 
 SENSOR = """
@@ -44,7 +53,8 @@ PLANS: dict[str, str] = {
     "c2_vbyte_length": BASE + "select tf, cast(count(*) as bigint) n, case when tf < 128 then 1 when tf < 16384 then 2 else 3 end bytes from tf group by tf",
     # scoring plans
     "r21_score_parts": BASE + "select q.qid, t.doc_id, t.token, t.tf, round(i.idf * q.qw * 1.9 * t.tf / (t.tf + 0.54 + 0.36 * dl.dl / st.avgdl), 9) part from rk r join qt q on q.qid = r.qid join tf t on t.doc_id = r.doc_id and t.token = q.token join idf i on i.token = t.token join dl on dl.doc_id = t.doc_id cross join st where r.rank = 1 and i.idf >= 0.3",
-    "r36_capped_bm25": BASE + ", pool as (select distinct q.qid, t.doc_id from qt q join idf i on i.token = q.token join tf t on t.token = q.token where i.df <= 50) select qid, doc_id, rank from (select b.qid, b.doc_id, cast(row_number() over (partition by b.qid order by round(b.score, 9) desc, b.doc_id) as bigint) rank from bm b join pool p on p.qid = b.qid and p.doc_id = b.doc_id) x where rank <= 10",
+    "r36_capped_bm25": BASE
+    + ", least_df as (select q.qid, min(i.df) df from qt q join idf i on i.token = q.token group by 1), pool as (select distinct q.qid, t.doc_id from qt q join idf i on i.token = q.token join least_df l on l.qid = q.qid cross join st join tf t on t.token = q.token where i.df <= greatest(50, 0.05 * st.n, l.df)) select qid, doc_id, rank from (select b.qid, b.doc_id, cast(row_number() over (partition by b.qid order by round(b.score, 9) desc, b.doc_id) as bigint) rank from bm b join pool p on p.qid = b.qid and p.doc_id = b.doc_id) x where rank <= 10",
     "r39_exact_and": BASE + "select b.qid, b.doc_id from bm b join (select q.qid, count(*) k from qt q join idf i on i.token = q.token where i.idf >= 0.3 group by 1) a on a.qid = b.qid and a.k = b.m",
     "r31_coverage": BASE + "select qid, doc_id, m, round(s, 9) s from (select *, row_number() over (partition by qid order by m desc, round(s, 9) desc, doc_id) k from bm) x where k <= 10",
     "r12_pseudo_feedback": BASE + ", ex as (select qid, token, c, w from (select r.qid, t.token, count(*) c, count(*) * max(i.idf) w, row_number() over (partition by r.qid order by round(count(*) * max(i.idf), 9) desc, t.token) k from rk r join tf t on t.doc_id = r.doc_id join idf i on i.token = t.token left join qt q on q.qid = r.qid and q.token = t.token where r.rank <= 10 and i.idf >= 3 and q.token is null group by 1, 2 having count(*) >= 2) x where k <= 40) select qid, token, cast(c as bigint) c, round(w, 9) w from ex",
@@ -67,7 +77,14 @@ PLANS: dict[str, str] = {
     "k4_gold_rank": BASE + "select rel.qid, min(r.rank) best from rel left join rk r on r.qid = rel.qid and r.doc_id = rel.doc_id group by 1",
     "ag16_relevance_bridges": BASE + ", pr as (select q.qid, q.token qt, t.token dt from rel join qt q on q.qid = rel.qid join tf t on t.doc_id = rel.doc_id), c as (select p.qt, p.dt, count(distinct p.qid) c from pr p group by 1, 2), n as (select token, count(distinct qid) n from qt where qid in (select qid from rel) group by 1) select qt, dt, round(w, 9) w from (select c.qt, c.dt, c.c * 1.0 / n.n * i.idf w, row_number() over (partition by c.qt order by round(c.c * 1.0 / n.n * i.idf, 9) desc, c.dt) k from c join n on n.token = c.qt join idf i on i.token = c.dt join idf j on j.token = c.qt where c.c >= 2 and c.qt <> c.dt and i.idf >= 2 and j.idf >= 2) x where k <= 12",
     "ag31_stored_composites": BASE + ", t8 as (select doc_id, token, w from (select t.doc_id, t.token, t.tf * i.idf w, row_number() over (partition by t.doc_id order by round(t.tf * i.idf, 9) desc, t.token) k from tf t join idf i on i.token = t.token where i.df >= 2) x where k <= 8) select doc_id, a, b from (select x.doc_id, x.token a, y.token b, row_number() over (partition by x.doc_id order by round(least(x.w, y.w), 9) desc, x.token, y.token) k from t8 x join t8 y on x.doc_id = y.doc_id and x.token < y.token) z where k <= 12",
-    "r43_shared_rare_jaccard": BASE + ", sg as (select doc_id, token from (select t.doc_id, t.token, row_number() over (partition by t.doc_id order by i.df, t.token) k from tf t join idf i on i.token = t.token where i.df >= 2) x where k <= 4), cand as (select distinct a.doc_id a, b.doc_id b from sg a join sg b on a.token = b.token and a.doc_id < b.doc_id), sz as (select doc_id, count(*) n from tf group by 1), sh as (select c.a, c.b, count(*) k from cand c join tf x on x.doc_id = c.a join tf y on y.doc_id = c.b and y.token = x.token group by 1, 2) select a, b, round(k * 1.0 / (x.n + y.n - k), 9) jaccard from sh join sz x on x.doc_id = a join sz y on y.doc_id = b where k * 1.0 / (x.n + y.n - k) >= 0.8",
+    # documents of 0.8 or more of their words in common. Equal word sets are one class: its smallest id stands for it and
+    # is paired with the others at 1. Classes meet by the n - ceil(0.8 n) + 1 rarest of their n words, which loses no pair.
+    "r43_shared_rare_jaccard": BASE
+    + ", sets as (select doc_id, {setkey:token} mark, cast(count(*) as bigint) n from tf group by 1), rep as (select mark, min(doc_id) doc_id, min(n) n from sets group by 1), rt as (select t.doc_id, t.token, r.n from tf t join rep r on r.doc_id = t.doc_id), rdf as (select token, count(*) df from rt group by 1)"
+    + ", px as (select doc_id, token, n from (select rt.doc_id, rt.token, rt.n, row_number() over (partition by rt.doc_id order by d.df, rt.token) k from rt join rdf d on d.token = rt.token) x where k <= n - floor((4 * n + 4) / 5) + 1)"
+    + ", cand as (select distinct x.doc_id a, y.doc_id b, x.n an, y.n bn from px x join px y on x.token = y.token and x.doc_id < y.doc_id and 5 * x.n >= 4 * y.n and 5 * y.n >= 4 * x.n)"
+    + ", sh as (select c.a, c.b, c.an, c.bn, count(*) k from cand c join rt x on x.doc_id = c.a join rt y on y.doc_id = c.b and y.token = x.token group by 1, 2, 3, 4)"
+    + " select a, b, round(k * 1.0 / (an + bn - k), 9) jaccard from sh where 5 * k >= 4 * (an + bn - k) union all select r.doc_id a, s.doc_id b, 1.0 jaccard from sets s join rep r on r.mark = s.mark where r.doc_id < s.doc_id",
     # words and co-occurrence
     "tx1_content_words": "select doc_id, pos, token from {words:documents,doc_id,text} w",
     "tx3_head_weights": "with w as {words:documents,doc_id,text} select doc_id, token, round(sum(case when pos < 14 then 1.6 else 1.0 end), 6) tf from w group by 1, 2",
@@ -77,12 +94,16 @@ PLANS: dict[str, str] = {
     "tx16_bigram_stream": "with t as {tok:documents,doc_id,text}, b as (select token a, lead(token) over (partition by doc_id order by pos) b from t) select a, b, cast(count(*) as bigint) n from b where b is not null group by 1, 2 having count(*) >= 3",
     "tx17_window_pairs": "with t as {tok:documents,doc_id,text}, n as (select doc_id, token a, " + ", ".join(f"lead(token, {k}) over (partition by doc_id order by pos) l{k}" for k in range(1, 8)) + " from t), p as (select a, case k.i " + " ".join(f"when {k} then l{k}" for k in range(1, 8)) + " end b from n cross join {series:1,7} k) select least(a, b) a, greatest(a, b) b, cast(count(*) as bigint) n from p where b is not null and a <> b group by 1, 2",
     "ag6_cooccurrence": CONTENT + "select a, b, c from pairs where c >= 4",
-    "ag10_pmi_graph": CONTENT + "select a, b, c, round(pmi, 9) pmi from (select p.a, p.b, p.c, ln((nd.n * p.c + 1.0) / (x.df * y.df + 1.0)) pmi, row_number() over (partition by p.a order by round(ln((nd.n * p.c + 1.0) / (x.df * y.df + 1.0)), 9) desc, p.b) k from pairs p join df x on x.token = p.a join df y on y.token = p.b cross join nd where p.c >= 3) z where pmi > 0 and k <= 10",
-    "ag8_ppmi": CONTENT + "select p.a, p.b, round(greatest(0.0, log2(p.c * 1.0 * nd.n / (x.df * y.df))), 9) ppmi from pairs p join df x on x.token = p.a join df y on y.token = p.b cross join nd where p.c >= 3",
-    "ag13_z_cohesion": CONTENT + "select p.a, p.b, round((p.c - x.df * y.df * 1.0 / nd.n) / sqrt(x.df * 1.0 * y.df / nd.n), 9) z from pairs p join df x on x.token = p.a join df y on y.token = p.b cross join nd where p.c >= 3",
-    "ag21_neighbour_cosine": CONTENT + ", e as (select a, b, c from pairs where c >= 3 union all select b, a, c from pairs where c >= 3), nm as (select a, sqrt(sum(c * c)) n from e group by 1) select x.a, y.a b, round(sum(x.c * y.c) / (max(p.n) * max(q.n)), 9) cosine from e x join e y on x.b = y.b and x.a < y.a join nm p on p.a = x.a join nm q on q.a = y.a group by 1, 2 having count(*) >= 3",
-    "ag26_heavy_anchors": CONTENT + ", ra as (select doc_id, token from top where df <= 10) select a, b, c, round(1.0 / c, 9) discrimination from (select x.token a, y.token b, cast(count(*) as bigint) c from ra x join ra y on x.doc_id = y.doc_id and x.token < y.token group by 1, 2) z where c between 2 and 10",
-    "ag29_triples": CONTENT + ", t3 as (select doc_id, token from (select doc_id, token, row_number() over (partition by doc_id order by df, token) k from top) x where k <= 6) select a.token a, b.token b, c.token c, cast(count(*) as bigint) n from t3 a join t3 b on a.doc_id = b.doc_id and a.token < b.token join t3 c on c.doc_id = a.doc_id and b.token < c.token group by 1, 2, 3 having count(*) >= 3",
+    "ag10_pmi_graph": CONTENT
+    + ", r80 as (select doc_id, token from (select doc_id, token, row_number() over (partition by doc_id order by df, token) k from top) x where k <= 80), p80 as (select a.token a, b.token b, cast(count(*) as bigint) c from r80 a join r80 b on a.doc_id = b.doc_id and a.token < b.token group by 1, 2 having count(*) >= 4), e as (select p.a, p.b, p.c, ln((nd.n * p.c + 1.0) / (x.df * y.df + 1.0)) pmi from p80 p join df x on x.token = p.a join df y on y.token = p.b cross join nd), both_ways as (select a, b, c, pmi from e where pmi >= 3 union all select b, a, c, pmi from e where pmi >= 3) select a, b, c, round(pmi, 9) pmi from (select a, b, c, pmi, row_number() over (partition by a order by round(pmi, 9) desc, b) k from both_ways) z where k <= 10",
+    "ag8_ppmi": CONTENT + "select p.a, p.b, round(greatest(0.0, log2(p.c * 1.0 * nw.n / (x.df * y.df))), 9) ppmi from pairs p join wf x on x.token = p.a join wf y on y.token = p.b cross join nw where p.c >= 3",
+    "ag13_z_cohesion": CONTENT + "select p.a, p.b, round((p.c - x.df * y.df * 1.0 / nw.n) / sqrt(x.df * 1.0 * y.df / nw.n), 9) z from pairs p join wf x on x.token = p.a join wf y on y.token = p.b cross join nw where p.c >= 3",
+    "ag21_neighbour_cosine": CONTENT
+    + ", h as (select token from rare where idf >= 3.5), hp as (select p.a, p.b, p.c from pairs p join h x on x.token = p.a join h y on y.token = p.b where p.c >= 3), e as (select a, b, c from hp union all select b, a, c from hp), nm as (select a, sqrt(sum(c * c)) n from e group by 1) select x.a, y.a b, round(sum(x.c * y.c) / (max(p.n) * max(q.n)), 9) cosine from e x join e y on x.b = y.b and x.a < y.a join nm p on p.a = x.a join nm q on q.a = y.a group by 1, 2 having count(*) >= 3",
+    "ag26_heavy_anchors": CONTENT
+    + ", ra as (select ww.doc_id, ww.win, ww.token from ww join df on df.token = ww.token cross join nd where df.df <= greatest(10, 0.02 * nd.n)) select a, b, c, round(1.0 / c, 9) discrimination from (select x.token a, y.token b, count(distinct x.doc_id) c from ra x join ra y on x.doc_id = y.doc_id and x.win = y.win and x.token < y.token group by 1, 2) z where c between 2 and 10",
+    "ag29_triples": CONTENT
+    + ", t3 as (select doc_id, token from (select doc_id, token, row_number() over (partition by doc_id order by df desc, token) k from top where df between 3 and 40) x where k <= 6) select a.token a, b.token b, c.token c, cast(count(*) as bigint) n from t3 a join t3 b on a.doc_id = b.doc_id and a.token < b.token join t3 c on c.doc_id = a.doc_id and b.token < c.token group by 1, 2, 3 having count(*) >= 3",
     "ag33_bigram_perplexity": "with t as {tok:documents,doc_id,text}, u as (select token, count(*) c from t group by 1), n as (select sum(c) n, count(*) v from u), p as (select token a, lead(token) over (partition by doc_id order by pos) b from t), g as (select a, b, count(*) c from p where b is not null group by 1, 2) select round(exp(-sum(g.c * ln(0.7 * g.c / x.c + 0.3 * (y.c + 1.0) / (n.n + n.v))) / sum(g.c)), 6) perplexity from g join u x on x.token = g.a join u y on y.token = g.b cross join n",
     "ag35_counting_classifier": "with t as {tok:documents,doc_id,text}, l as (select doc_id, lang from {documents}), c as (select lang, token, count(*) c from t join l on l.doc_id = t.doc_id where t.doc_id % 2 = 0 group by 1, 2), n as (select lang, sum(c) n from c group by 1), v as (select count(distinct token) v from c), q as (select doc_id, token, count(*) k from t where doc_id % 2 = 1 group by 1, 2), s as (select q.doc_id, n.lang, sum(q.k * ln((coalesce(c.c, 0) + 1.0) / (n.n + v.v))) s from q cross join n cross join v left join c on c.lang = n.lang and c.token = q.token group by 1, 2) select doc_id, lang from (select doc_id, lang, row_number() over (partition by doc_id order by round(s, 6) desc, lang) k from s) x where k = 1",
     "r19_discriminative_labels": "with t as (select distinct doc_id, token from {words:documents,doc_id,text} w), l as (select doc_id, source from {documents}), n as (select source, count(*) n from l group by 1), f as (select l.source, t.token, count(*) * 1.0 / max(n.n) share from t join l on l.doc_id = t.doc_id join n on n.source = l.source group by 1, 2), o as (select x.source, x.token, max(x.share) f, max(g.share) other from f x left join f g on g.token = x.token and g.source <> x.source where x.share > 0.005 group by 1, 2) select source, token, round(f - coalesce(other, 0), 9) lift from (select *, row_number() over (partition by source order by round(f - coalesce(other, 0), 9) desc, token) k from o where f - coalesce(other, 0) > 0.002) x where k <= 36",

@@ -44,6 +44,8 @@ def render(sql: str, dialect: str, sf_dir: str = "") -> str:
             return f"list_transform(generate_series(1, greatest(length({e}) - {n} + 1, 0)), lambda i: substring({e}, i, {n}))" if duck else f"case when length({e}) < {n} then array() else transform(sequence(1, length({e}) - {n} + 1), i -> substring({e}, i, {n})) end"
         if name == "sorted":  # the signs of a word in order
             return f"list_aggregate(list_sort(string_split({rest}, '')), 'string_agg', '')" if duck else f"array_join(array_sort(split({rest}, '')), '')"
+        if name == "setkey":  # one text for a set of words
+            return f"md5(string_agg(distinct {rest}, ' ' order by {rest}))" if duck else f"md5(array_join(array_sort(collect_set({rest})), ' '))"
         if name == "json":  # a record of columns as JSON text
             pairs = ", ".join(f"'{a.split('.')[-1]}', {a}" for a in args)
             return f"cast(json_object({pairs}) as varchar)" if duck else f"to_json(named_struct({pairs}))"

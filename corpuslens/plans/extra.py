@@ -84,7 +84,8 @@ PLANS: dict[str, str] = {
     "ag22_branch_meet": RARE3 + ", co as (select r.qid, r.token q, t.token t, count(*) n from r3 r join tf x on x.token = r.token join tf t on t.doc_id = x.doc_id where r.df <= 50 group by 1, 2, 3) select qid, t, n from (select co.qid, co.t, cast(sum(co.n) as bigint) n, row_number() over (partition by co.qid order by round(sum(co.n) * max(i.idf), 9) desc, co.t) k from co join idf i on i.token = co.t left join qt o on o.qid = co.qid and o.token = co.t where o.token is null group by 1, 2 having count(distinct co.q) = 3) x where k <= 8",
     "ag23_exact_membership": "select source, lang, cast(count(distinct doc_id) as bigint) members from {documents} group by 1, 2",
     "ag27_phrase_composites": BIGRAMS + ", p as (select distinct doc_id, least(a, b) a, greatest(a, b) b from b where b is not null and a <> b), d as (select a, b, count(*) n from p group by 1, 2), k as (select p.doc_id, p.a, p.b, d.n, row_number() over (partition by p.doc_id order by d.n, p.a, p.b) k from p join d on d.a = p.a and d.b = p.b where d.n >= 2) select a, b, cast(count(*) as bigint) docs from k where k <= 64 group by 1, 2",
-    "ag28_set_bridges": CONTENT + "select p.a, p.b, round(p.c * 1.0 / (x.df + y.df - p.c), 9) jaccard from pairs p join df x on x.token = p.a join df y on y.token = p.b where p.c * 1.0 / (x.df + y.df - p.c) >= 0.4",
+    "ag28_set_bridges": CONTENT
+    + "select p.a, p.b, round(p.c * 1.0 / (x.df + y.df - p.c), 9) jaccard from dpairs p join df x on x.token = p.a join df y on y.token = p.b where x.df >= 3 and y.df >= 3 and p.c * 1.0 / (x.df + y.df - p.c) >= 0.4",
     "ag30_query_gaps": BASE + "select q.token, cast(count(*) as bigint) queries, cast(sum(case when r.hit is null then 2 else 1 end) as bigint) weight from qt q left join idf i on i.token = q.token left join (select rel.qid, 1 hit from rel join rk on rk.qid = rel.qid and rk.doc_id = rel.doc_id where rk.rank <= 10 group by 1) r on r.qid = q.qid where i.token is null group by 1",
     "ag32_category_markov": "with t as (select d.lang c, x.token from {tok:documents,doc_id,text} x join {documents} d on d.doc_id = x.doc_id where d.lang is not null), g as (select c, token, count(*) n from t group by 1, 2), a as (select c, sum(n) n from g group by 1), b as (select token, sum(n) n from g group by 1) select g.c, g.token, round(g.n * 1.0 / a.n, 9) p_word, round(g.n * 1.0 / b.n, 9) p_category from g join a on a.c = g.c join b on b.token = g.token where g.n >= 3",
     "ag34_next_word": BIGRAMS + "select a, b, c from (select a, b, cast(c as bigint) c, row_number() over (partition by a order by c desc, b) k from g) x where k = 1",
@@ -101,7 +102,7 @@ PLANS: dict[str, str] = {
     "r16_vocabulary_gap": BRIDGES + "select q.qid, round(avg(case when b.qt is null then 1.0 else 0.0 end), 9) gap, case when avg(case when b.qt is null then 1.0 else 0.0 end) > 0.5 then 'lexical' else 'bridged' end route from qt q left join (select distinct qt from br) b on b.qt = q.token group by 1",
     "r17_bounded_pool": BASE + ", p as (select distinct q.qid, t.doc_id from qt q join idf i on i.token = q.token join tf t on t.token = q.token where i.df <= 256), f as (select b.qid, b.doc_id, b.score from bm b join p on p.qid = b.qid and p.doc_id = b.doc_id) " + TOP10,
     "r25_overlap_score": RARE3 + ", dn as (select t.doc_id, count(*) n from tf t join idf i on i.token = t.token where i.df between 2 and 200 group by 1), qn as (select q.qid, count(*) n from qt q join idf i on i.token = q.token where i.df between 2 and 200 group by 1), sh as (select q.qid, t.doc_id, count(*) k from qt q join idf i on i.token = q.token join tf t on t.token = q.token where i.df between 2 and 200 group by 1, 2), f as (select sh.qid, sh.doc_id, sh.k * 1.0 / (qn.n + dn.n - sh.k) score from sh join qn on qn.qid = sh.qid join dn on dn.doc_id = sh.doc_id) " + TOP10,
-    "r26_meet_witnesses": BASE + ", qp as (select a.qid, a.token a, b.token b from qt a join qt b on b.qid = a.qid and a.token < b.token join idf i on i.token = a.token join idf j on j.token = b.token where i.df between 2 and 50 and j.df between 2 and 50) select p.qid, x.doc_id, cast(count(*) as bigint) witnesses from qp p join tf x on x.token = p.a join tf y on y.token = p.b and y.doc_id = x.doc_id group by 1, 2",
+    "r26_meet_witnesses": BASE + ", qp as (select a.qid, a.token a, b.token b from qt a join qt b on b.qid = a.qid and a.token < b.token join idf i on i.token = a.token join idf j on j.token = b.token cross join st where i.df between 2 and greatest(50, 0.05 * st.n) and j.df between 2 and greatest(50, 0.05 * st.n)) select p.qid, x.doc_id, cast(count(*) as bigint) witnesses from qp p join tf x on x.token = p.a join tf y on y.token = p.b and y.doc_id = x.doc_id group by 1, 2",
     "r28_cascade": RARE3 + ", m as (select r.qid, t.doc_id, count(*) c, sum(r.idf) s from r3 r join tf t on t.token = r.token group by 1, 2), b as (select qid, max(c) c from m group by 1), f as (select m.qid, m.doc_id, m.s score from m join b on b.qid = m.qid and b.c = m.c) " + TOP10,
     "r32_recall_first_pool": BRIDGES + ", p as (select q.qid, t.doc_id from qt q join idf i on i.token = q.token join tf t on t.token = q.token where i.df <= 200 union select qid, doc_id from ex), f as (select p.qid, p.doc_id, sum(t.tf / (t.tf + 1.2)) score from p join qt q on q.qid = p.qid join tf t on t.doc_id = p.doc_id and t.token = q.token group by 1, 2) " + TOP10,
     "r33_sparse_dot": BASE + ", f as (select q.qid, t.doc_id, sum(i.idf * q.qw * i.idf * ln(1 + t.tf)) score from qt q join tf t on t.token = q.token join idf i on i.token = t.token group by 1, 2) " + TOP10,
@@ -110,7 +111,7 @@ PLANS: dict[str, str] = {
     "r38_pruned_index": BASE + ", f as (select q.qid, t.doc_id, sum(i.idf * q.qw * 1.9 * least(t.tf, 15) / (least(t.tf, 15) + 0.54 + 0.36 * dl.dl / st.avgdl)) score from qt q join tf t on t.token = q.token join idf i on i.token = t.token join dl on dl.doc_id = t.doc_id cross join st where i.idf >= 4 group by 1, 2) " + TOP10,
     "r40_warm_expansion": RARE3 + ", co as (select r.qid, r.token q, r.df, r.idf qidf, t.token t, count(*) n from r3 r join tf x on x.token = r.token join tf t on t.doc_id = x.doc_id where r.df <= 50 and t.token <> r.token group by 1, 2, 3, 4, 5) select qid, q, t from (select co.qid, co.q, co.t, row_number() over (partition by co.qid, co.q order by round(co.n * 1.0 / co.df * i.idf / (1 + co.qidf), 9) desc, co.t) k from co join idf i on i.token = co.t where co.n * 1.0 / co.df >= 0.1) x where k <= 6",
     "r45_lattice_lexical": BASE + ", c as (select doc_id, count(*) n from tf group by 1), a as (select avg(n) n from c), f as (select q.qid, t.doc_id, sum(i.idf * t.tf / (t.tf + 1.2)) / (0.75 + 0.25 * max(c.n) / max(a.n)) score from qt q join tf t on t.token = q.token join idf i on i.token = t.token join c on c.doc_id = t.doc_id cross join a group by 1, 2) " + TOP10,
-    "r46_shell_maxsim": CONTENT + ", q as (select distinct item_id qid, token from {words:benchmark,item_id,text} y), e as (select a s, b t, c * 1.0 / greatest(x.df, z.df) w from pairs p join df x on x.token = p.a join df z on z.token = p.b where p.c >= 3 union all select b, a, c * 1.0 / greatest(x.df, z.df) from pairs p join df x on x.token = p.a join df z on z.token = p.b where p.c >= 3), m as (select q.qid, d.doc_id, q.token, 2.0 v from q join dw d on d.token = q.token union all select q.qid, d.doc_id, q.token, e.w from q join e on e.s = q.token join dw d on d.token = e.t), best as (select qid, doc_id, token, max(v) v from m group by 1, 2, 3), f as (select b.qid, b.doc_id, sum(r.idf * b.v) score from best b join rare r on r.token = b.token group by 1, 2) " + TOP10,
+    "r46_shell_maxsim": CONTENT + ", q as (select distinct item_id qid, token from {words:benchmark,item_id,text} y), e as (select a s, b t, c * 1.0 / greatest(x.df, z.df) w from links p join wf x on x.token = p.a join wf z on z.token = p.b union all select b, a, c * 1.0 / greatest(x.df, z.df) from links p join wf x on x.token = p.a join wf z on z.token = p.b), m as (select q.qid, d.doc_id, q.token, 2.0 v from q join dw d on d.token = q.token union all select q.qid, d.doc_id, q.token, e.w from q join e on e.s = q.token join dw d on d.token = e.t), best as (select qid, doc_id, token, max(v) v from m group by 1, 2, 3), f as (select b.qid, b.doc_id, sum(r.idf * b.v) score from best b join rare r on r.token = b.token group by 1, 2) " + TOP10,
     "r47_oriented_rails": "with t as {tok:documents,doc_id,text}, q as {tok:benchmark,item_id,text}, d as (select doc_id, token a, lead(token) over (partition by doc_id order by pos) b from t), dp as (select doc_id, a, b, count(*) n from d where b is not null group by 1, 2, 3), e as (select item_id qid, token a, lead(token) over (partition by item_id order by pos) b from q), qp as (select distinct qid, a, b from e where b is not null), f as (select qp.qid, dp.doc_id, sum(2.0 + 3.0 * (1 - 1.0 / (1 + dp.n))) score from qp join dp on dp.a = qp.a and dp.b = qp.b group by 1, 2) " + TOP10,
     "r54_glossary_injection": RARE3 + ", gl as (select distinct r.token hub, q.token spoke from r3 r join qt q on q.qid = r.qid and q.token <> r.token), ad as (select q.qid, g.spoke, max(i.idf) w from qt q join gl g on g.hub = q.token join idf i on i.token = g.spoke left join qt o on o.qid = q.qid and o.token = g.spoke where i.idf >= 2 and o.token is null group by 1, 2), x as (select a.qid, t.doc_id, sum(a.w * t.tf / (t.tf + 1.0)) score from ad a join tf t on t.token = a.spoke group by 1, 2), f as (select r.qid, r.doc_id, r.score + 0.25 * coalesce(x.score, 0.0) score from rk r left join x on x.qid = r.qid and x.doc_id = r.doc_id where r.rank <= 100) " + TOP10,
     "r55_star_edges": RARE3 + "select r.token hub, q.token spoke, cast(count(*) as bigint) n from r3 r join qt q on q.qid = r.qid and q.token <> r.token join idf i on i.token = q.token where i.idf >= 2 group by 1, 2",

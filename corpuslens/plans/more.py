@@ -68,7 +68,7 @@ PLANS: dict[str, str] = {
     "r23_candidate_tiers": RARE3 + ", c as (select r.qid, t.doc_id, case when r.k = 1 then 1 else 2 end tier from r3 r join tf t on t.token = r.token union all select qid, doc_id, 3 from bm) select qid, tier, cast(count(*) as bigint) docs from (select qid, doc_id, min(tier) tier from c group by 1, 2) x group by 1, 2",
     "r24_anchor_router": RARE3 + ", c as (select r.qid, t.doc_id, 2 hit from r3 r join tf t on t.token = r.token union all select qid, doc_id, 1 from rk where rank <= 20) select qid, doc_id, hits from (select qid, doc_id, cast(sum(hit) as bigint) hits, row_number() over (partition by qid order by sum(hit) desc, doc_id) k from c group by 1, 2) x where k <= 30",
     "r27_bucket_witnesses": BASE + ", q as (select distinct qid, left(token, 4) b from qt where length(token) >= 4), d as (select t.doc_id, left(t.token, 4) b, max(i.idf) w from tf t join idf i on i.token = t.token where length(t.token) >= 4 and i.idf >= 1 group by 1, 2), f as (select q.qid, d.doc_id, sum(d.w) score from q join d on d.b = q.b group by 1, 2) " + TOP10,
-    "r29_rare_correlations": CONTENT + ", q as (select distinct w.item_id qid, w.token from {words:benchmark,item_id,text} w join rare on rare.token = w.token where rare.df between 4 and 200), e as (select a, b, c from pairs where c >= 4 union all select b, a, c from pairs where c >= 4), f as (select q.qid, t.doc_id, sum(ln(1.0 + e.c)) score from q join e on e.a = q.token join top t on t.token = e.b group by 1, 2) " + TOP10,
+    "r29_rare_correlations": CONTENT + ", scarce as (select token from df cross join nd where df between 4 and greatest(10, 0.02 * n)), q as (select distinct w.item_id qid, w.token from {words:benchmark,item_id,text} w join scarce on scarce.token = w.token), e as (select a, b, c from pairs where c >= 4 union all select b, a, c from pairs where c >= 4), f as (select q.qid, t.doc_id, sum(ln(1.0 + e.c)) score from q join e on e.a = q.token join scarce s on s.token = e.b join dw t on t.token = e.b group by 1, 2) " + TOP10,
     "r41_corridor_provenance": BRIDGES + "select qid, doc_id, qt, dt, round(part, 6) part from (select q.qid, t.doc_id, b.qt, b.dt, b.w * t.tf / (t.tf + 1.0) part, row_number() over (partition by q.qid, t.doc_id order by round(b.w * t.tf / (t.tf + 1.0), 9) desc, b.qt, b.dt) k from qt q join br b on b.qt = q.token join tf t on t.token = b.dt) x where k = 1",
     "r48_hybrid_modes": BRIDGES + ", er as (select qid, doc_id, row_number() over (partition by qid order by round(score, 9) desc, doc_id) rank from ex), u as (select qid, doc_id, rank lr, null er from rk where rank <= 100 union all select qid, doc_id, null, rank from er where rank <= 100), f as (select qid, doc_id, case when max(er) is null then 1.0 / (60 + max(lr)) when max(lr) is null then 0.5 / (60 + max(er)) else 1.0 / (60 + max(lr)) + 1.0 / (60 + max(er)) end score from u group by 1, 2) " + TOP10,
     "r49_wing_cages": RARE3 + ", c as (select r.qid, t.doc_id, count(*) c, sum(r.idf) w from r3 r join tf t on t.token = r.token group by 1, 2), f as (select b.qid, b.doc_id, b.score + case coalesce(c.c, 0) when 3 then c.w when 2 then 0.5 * c.w else 0.0 end score from bm b left join c on c.qid = b.qid and c.doc_id = b.doc_id) " + TOP10,

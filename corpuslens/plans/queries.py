@@ -122,7 +122,7 @@ def j19_dense_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _word_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(sql_of(PLANS["ag6_cooccurrence"], "spark", sf_dir))
+    return spark.sql(sql_of(CONTENT + "select a, b, c from links", "spark", sf_dir))
 
 
 def g1_theme_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,11 +182,11 @@ def r56_saturated_learning(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Queries that SQL does not express: a fold with state, a greedy walk, Unicode tables, principal axes. Tests hold them against plain Python.
 WITHOUT_SQL = ("g12_conflict_schedule", "w17_adaptive_threshold", "tx4_normalised_text", "r53_latent_rerank")
 
-REACH = CONTENT.replace("with w as", "with recursive w as", 1) + ", e as (select a, b, c from pairs where c >= 4), r(a, b) as (select a, b from (select a, b from e union select b, a from e) x union select r.a, y.b from r join (select a, b from e union select b, a from e) y on y.a = r.b), root as (select a word, least(a, min(b)) root from r group by a)"
+REACH = CONTENT.replace("with w as", "with recursive w as", 1) + ", e as (select a, b, c from links), r(a, b) as (select a, b from (select a, b from e union select b, a from e) x union select r.a, y.b from r join (select a, b from e union select b, a from e) y on y.a = r.b), root as (select a word, least(a, min(b)) root from r group by a)"
 
 _DUCK: dict[str, str] = {
     "g1_theme_clusters": REACH + " select word, root from root",
-    "r56_saturated_learning": CONTENT.replace("with w as", "with recursive w as", 1) + ", e as (select a, b from pairs where c >= 4 union select b, a from pairs where c >= 4), r(word, round) as (select distinct token, 0 from {tok:benchmark,item_id,text} t where token in (select a from e) union select e.b, round + 1 from r join e on e.a = r.word where round < 12) select word, cast(min(round) as bigint) round from r group by 1",
+    "r56_saturated_learning": CONTENT.replace("with w as", "with recursive w as", 1) + ", e as (select a, b from links union select b, a from links), r(word, round) as (select distinct token, 0 from {tok:benchmark,item_id,text} t where token in (select a from e) union select e.b, round + 1 from r join e on e.a = r.word where round < 12) select word, cast(min(round) as bigint) round from r group by 1",
     "g3_cluster_hubs": REACH + ", s as (select word, sum(c) w from (select a word, c from e union all select b, c from e) group by 1), h as (select root, word hub, count(*) over (partition by root) words, row_number() over (partition by root order by w desc, word) k from root join s using (word)) select root, hub, words from h where k = 1",
     "tp28_shortest_paths": "with recursive up as (select 'n' || n_nationkey a, 'r' || n_regionkey b, cast(n_nationkey % 3 + 1 as bigint) w from nation union all select 'r' || r_regionkey, 'root', r_regionkey + 1 from region), e as (select a, b, w from up union all select b, a, w from up), p(a, b, w, n) as (select a, b, w, 1 from e union all select p.a, e.b, p.w + e.w, n + 1 from p join e on e.a = p.b where n < 4) select a, b, cast(min(w) as bigint) w from p where a <> b group by 1, 2",
     "r1_bm25_topk": BASE + "select qid, doc_id, rank, round(score, 6) score from rk where rank <= 10",
@@ -208,17 +208,8 @@ _DUCK: dict[str, str] = {
 _FRAMES = (r1_bm25_topk, r9_tfidf_topk, e1_ranking_metrics, fu2_rank_fusion, fu1_additive_fusion, tx7_stems, tx6_crude_stems, d4_ordered_dedup, r50_retriever, j19_dense_similarity, g1_theme_clusters, g3_cluster_hubs, tp28_shortest_paths, g12_conflict_schedule, w17_adaptive_threshold, tx4_normalised_text, r53_latent_rerank, r56_saturated_learning)
 
 
-#: What a plan does beyond its SQL, where the SQL has nothing: a query without a term under the cap takes its rarest ones.
-_BEYOND: dict[str, tuple[str, str]] = {
-    "r36_capped_bm25": (
-        "pool as (select distinct q.qid, t.doc_id from qt q join idf i on i.token = q.token join tf t on t.token = q.token where i.df <= 50)",
-        "least_df as (select q.qid, min(i.df) df from qt q join idf i on i.token = q.token group by 1), pool as (select distinct q.qid, t.doc_id from qt q join idf i on i.token = q.token join least_df l on l.qid = q.qid join tf t on t.token = q.token where i.df <= greatest(50, l.df))",
-    ),
-}
-
-
 def _plan(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: spark.sql(sql_of(PLANS[name].replace(*_BEYOND[name]) if name in _BEYOND else PLANS[name], "spark", sf_dir))
+    return lambda spark, sf_dir: spark.sql(sql_of(PLANS[name], "spark", sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _FRAMES} | {n: _plan(n) for n in PLANS}

@@ -58,3 +58,47 @@ def test_capped_pool_falls_back_to_rarest_terms(spark, tmp_path):
         got.setdefault(r.qid, []).append((r["rank"], r.doc_id))
     assert sorted(got[1]) == [(i + 1, i) for i in range(10)]
     assert sorted(got[2]) == [(1, 90), (2, 91), (3, 92)]
+
+
+def _documents(spark, path, texts):
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(1, "alpha beta")], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+
+
+def test_word_pairs_are_counted_by_windows_of_all_words(spark, tmp_path):
+    """Every window of 48 words of a long text counts, common words and the last ones too; words of two windows do not meet."""
+    words = [f"zq{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(96)]
+    _documents(spark, tmp_path, [" ".join(words)] * 5 + [None, "", "lone"])
+    got = {(r.a, r.b): r.c for r in QUERIES["ag6_cooccurrence"](spark, str(tmp_path)).collect()}
+    halves = words[:48], words[48:]
+    assert got == {(min(x, y), max(x, y)): 5 for h in halves for i, x in enumerate(h) for y in h[i + 1 :]}
+
+
+def test_near_copies_by_all_pairs(spark, tmp_path):
+    """Pairs of classes of equal word sets against all pairs, and the classes themselves."""
+    import random
+
+    rng = random.Random(5)
+    texts = []
+    for _ in range(30):
+        base = [f"t{rng.randrange(400)}" for _ in range(rng.randrange(5, 40))]
+        texts.append(" ".join(base))
+        for drop in range(3):
+            texts.append(" ".join(base[drop:] + [f"n{rng.randrange(9)}"] * (drop % 2)))
+    texts += [None, "", texts[0], texts[0].upper(), "one two three four five", "one two three four five six"]
+    _documents(spark, tmp_path, texts)
+    sets = {i: frozenset(t.lower().split()) for i, t in enumerate(texts) if t}
+    first = {}
+    want = {}
+    for i, s in sets.items():
+        if s in first:
+            want[first[s], i] = 1.0
+        first.setdefault(s, i)
+    reps = sorted(first.values())
+    for i, a in enumerate(reps):
+        for b in reps[i + 1 :]:
+            k, n = len(sets[a] & sets[b]), len(sets[a] | sets[b])
+            if 5 * k >= 4 * n:
+                want[a, b] = k / n
+    rows = QUERIES["r43_shared_rare_jaccard"](spark, str(tmp_path)).collect()
+    assert len(rows) == len(want) and {(r.a, r.b): pytest.approx(r.jaccard, abs=1e-8) for r in rows} == want
