@@ -46,6 +46,10 @@ def render(sql: str, dialect: str, sf_dir: str = "") -> str:
             return f"list_aggregate(list_sort(string_split({rest}, '')), 'string_agg', '')" if duck else f"array_join(array_sort(split({rest}, '')), '')"
         if name == "setkey":  # one text for a set of words
             return f"md5(string_agg(distinct {rest}, ' ' order by {rest}))" if duck else f"md5(array_join(array_sort(collect_set({rest})), ' '))"
+        if name == "longest":  # texts of a column as alternatives of a pattern, longer ones first
+            return f"string_agg({rest}, '|' order by length({rest}) desc, {rest})" if duck else f"array_join(transform(array_sort(collect_list(struct(-length({rest}) as n, {rest} as g))), x -> x.g), '|')"
+        if name == "matches":  # what a pattern finds in a text, joined by spaces
+            return f"array_to_string(regexp_extract_all({args[0]}, {args[1]}, 1), ' ')" if duck else f"array_join(regexp_extract_all({args[0]}, {args[1]}, 1), ' ')"
         if name == "json":  # a record of columns as JSON text
             pairs = ", ".join(f"'{a.split('.')[-1]}', {a}" for a in args)
             return f"cast(json_object({pairs}) as varchar)" if duck else f"to_json(named_struct({pairs}))"

@@ -55,6 +55,13 @@ PLANS: dict[str, str] = {
     "tp18_bit_pairs": BASE + "select b.i place, cast(floor(t.tf / power(4, b.i)) as bigint) % 4 state, cast(count(*) as bigint) n from tf t cross join {series:0,3} b group by 1, 2",
     "d3_json_records": BASE + "select token, {json:token,df} record from df",
     # statistics
+    # words cut from left to right, at each place the longest of the 800 best pieces of three or four signs, else one letter;
+    # good pieces are in many words and few documents, in five words at least and half of the documents at most
+    "tx12_greedy_chunks": "with d as (select distinct doc_id, token from {words:documents,doc_id,text} x), v as (select distinct token from d), nd as (select count(distinct doc_id) n from d)"
+    + ", gt as (select token, {explode:{grams:token,4}} g from v union select token, {explode:{grams:token,3}} g from v), gw as (select g, count(*) words from gt where g >= 'a' group by 1 having count(*) >= 5)"
+    + ", gd as (select g, count(*) docs from (select distinct d.doc_id, t.g from d join gt t on t.token = d.token join gw on gw.g = t.g) x group by 1)"
+    + ", best as (select g from (select gw.g, row_number() over (order by round(ln(1.0 + gw.words) * ln((nd.n + 1.0) / (gd.docs + 1.0)), 9) desc, gw.g) k from gw join gd on gd.g = gw.g cross join nd where gd.docs <= 0.5 * nd.n) y where k <= 800)"
+    + ", pat as (select concat('(', coalesce(concat({longest:g}, '|'), ''), '[a-z])') p from best) select token, {matches:token,p} chunks from v cross join pat",
     "ag14_promoted_pieces": PIECES + "select g, words, docs, cast(row_number() over (partition by length(g) order by words desc, docs desc, g) as bigint) rank from ps where words >= 3 and docs >= 2 and n >= 5",
     "ag15_context_divergence": CONTEXTS + "select token, round(min(jaccard), 9) least, case when min(jaccard) < 0.2 then 1 else 0 end differ from jac group by 1",
     "g2_bridge_words": CONTEXTS + "select token, cast(count(*) as bigint) pairs from jac where jaccard < 0.2 group by 1 having count(*) >= 2",

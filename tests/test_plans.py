@@ -1,4 +1,5 @@
 import math
+import re
 
 import duckdb
 import pytest
@@ -102,3 +103,28 @@ def test_near_copies_by_all_pairs(spark, tmp_path):
                 want[a, b] = k / n
     rows = QUERIES["r43_shared_rare_jaccard"](spark, str(tmp_path)).collect()
     assert len(rows) == len(want) and {(r.a, r.b): pytest.approx(r.jaccard, abs=1e-8) for r in rows} == want
+
+
+def test_greedy_chunks_by_a_loop(spark, small):
+    """Each word cut again by a loop over its places, with the pieces counted anew."""
+    rows = {r.token: r.chunks for r in QUERIES["tx12_greedy_chunks"](spark, small).collect()}
+    texts = [set(re.findall("[a-z][a-z0-9]+", (r.text or "").lower())) & rows.keys() for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    texts = [t for t in texts if t]
+    held, docs = {}, {}
+    pieces = {w: {w[i : i + n] for n in (3, 4) for i in range(len(w) - n + 1) if w[i].isalpha()} for w in rows}
+    for w in rows:
+        for g in pieces[w]:
+            held[g] = held.get(g, 0) + 1
+    for t in texts:
+        for g in set().union(*(pieces[w] for w in t)):
+            docs[g] = docs.get(g, 0) + 1
+    score = {g: round(math.log(1 + n) * math.log((len(texts) + 1) / (docs[g] + 1)), 9) for g, n in held.items() if n >= 5 and docs[g] <= 0.5 * len(texts)}
+    best = set(sorted(score, key=lambda g: (-score[g], g))[:800])
+    assert best
+    for w, chunks in rows.items():
+        out, i = [], 0
+        while i < len(w):
+            n = next((n for n in (4, 3) if w[i : i + n] in best), 1)
+            out += [w[i : i + n]] * w[i].isalpha()
+            i += n
+        assert chunks == " ".join(out)
