@@ -9,8 +9,8 @@ holds too many rows is dealt out further down by the same rule. Within a task, s
 known to be of one component are not compared again, and a spanning forest is all that leaves it.
 
 ``near_duplicates`` links fingerprints of one word by their distance. ``similar_documents`` links
-texts by the similarity of their shingle sets: the words of a wide fingerprint are searched by the
-same tries with a wide budget, the whole fingerprint tells likely pairs, the sets confirm them.
+texts by the similarity of their shingle sets: sets meet in bands of their least hashes, as many rows
+for each set however many sets there are, sketches tell likely pairs, the sets confirm them.
 """
 
 from __future__ import annotations
@@ -33,16 +33,24 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 FIRST_BITS, MORE_BITS = 12, 6
 #: Rows of a node pair above which it is dealt out, and rows of a task at about the most.
 TASK_ROWS = 200_000
-#: The same for tries of wide fingerprints, whose node pairs are many more, and rows that are joined at once.
-WIDE_TASK_ROWS, WIDE_AT_ONCE = 50_000, 30_000
 #: Leaf pairs compared at once.
 _AT_ONCE = 1 << 20
 SHINGLE, SEED = 4, 42
-#: Words of a wide fingerprint, how many of them have tries, and the bits in which those may differ.
-WORDS, TRIES, WIDE_BUDGET = 6, 3, 12
-#: Least similarity of shingle sets, as a fraction, and bits of all words in which likely pairs differ at most: 0.8 gives 58 on average, with a deviation of 7.
-LEAST, FAR = (4, 5), 77
-WIDE_SHINGLE = 5
+#: Words of a shingle of a set, and the least similarity of sets, as a fraction.
+WIDE_SHINGLE, LEAST = 5, (4, 5)
+#: Bands of a set, and the least hashes in each: sets meet that share a band; of similarity 0.8, all but 4 pairs in 10,000 do.
+BANDS, PER_BAND = 20, 5
+#: Least hashes of which a sketch has four bits, and how many of them may differ in likely pairs: 0.8 gives 18 on average, with a deviation of 4.
+SKETCHED, FAR = 96, 32
+#: Rows of bands in a task at about the most, elements hashed at once, and rows of a band of which all pairs are compared at once.
+BAND_TASK_ROWS, _ELEMENTS, ALL_PAIRS = 50_000, 1 << 15, 512
+#: Forests of likely pairs made of a band, and likely pairs for each node of the table above which one forest is confirmed before the others.
+FORESTS, PAIRS_EACH = 8, 2
+#: For bands of more rows, the differences up to which rows are linked, one after the other, so that the nearest are linked first.
+_LEVELS = (8, 16, 24, FAR)
+#: Multipliers of the hashes, and one that mixes.
+_ODD = np.array([xxhash.xxh64_intdigest(bytes([i]), SEED) | 1 for i in range(BANDS * PER_BAND)], np.uint64)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Nodes whose sets are picked out by a broadcast (8 bytes each and some); beyond it by a shuffle join.
 BROADCAST_NODES = 1_000_000
 
@@ -123,14 +131,39 @@ def node_of(s: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(s.tobytes(), SEED)).view(np.int64))
 
 
-def wide_fingerprint(s: np.ndarray) -> np.ndarray:
-    """The majority bits of ``WORDS`` independent hashes of each element, mixed from the one it has."""
-    if not len(s):
-        return np.zeros(WORDS, np.uint64)
-    x = s[:, None] + np.uint64(0x9E3779B97F4A7C15) * np.arange(1, WORDS + 1, dtype=np.uint64)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return majority(x ^ (x >> np.uint64(31)))
+def least_hashes(sets: list[np.ndarray]) -> np.ndarray:
+    """[set, hash]: the least of each of the hashes of a set's elements; of two sets, each is equal with a chance of their similarity."""
+    out = np.zeros((len(sets), len(_ODD)), np.uint64)
+    full = np.flatnonzero([len(s) for s in sets])
+    for i, j in groups_of([len(sets[k]) for k in full], _ELEMENTS):
+        some = [sets[k] for k in full[i:j]]
+        x, first = np.concatenate(some), np.cumsum([0, *map(len, some[:-1])])
+        for k, odd in enumerate(_ODD):
+            out[full[i:j], k] = np.minimum.reduceat(x * odd, first)
+    return out
+
+
+def bands(least: np.ndarray) -> np.ndarray:
+    """[set, band]: the numbers of the bands of least hashes."""
+    key = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(least), 1))
+    for k in range(PER_BAND):
+        key = (key ^ least[:, k::PER_BAND]) * _MIX
+        key ^= key >> np.uint64(32)
+    return key
+
+
+def sketches(least: np.ndarray) -> np.ndarray:
+    """[set, byte]: four bits of each of the first least hashes."""
+    bits = ((least[:, :SKETCHED] * _MIX) >> np.uint64(60)).astype(np.uint8)
+    return bits[:, ::2] | bits[:, 1::2] << 4
+
+
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many of their hashes sketches (as 64-bit words, on the last axis) differ."""
+    x = a ^ b
+    x |= x >> np.uint64(2)
+    x |= x >> np.uint64(1)
+    return np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(axis=-1, dtype=np.int64)
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -201,20 +234,16 @@ class Forest:
             self.label = to[self.label]
 
 
-def trie_join(value: np.ndarray, r: np.ndarray, tasks: list[np.ndarray], budget: int, close=None) -> Forest:
+def trie_join(value: np.ndarray, r: np.ndarray, tasks: list[np.ndarray], budget: int) -> Forest:
     """The components of rows, from all pairs of the tasks within the budget.
 
-    ``value``: rotated bits, sorted within each node. ``r``: the start block (a trie each; equal ones modulo
-    ``budget + 1`` start at the same block of different words). ``tasks``: arrays a_lo, a_hi, b_lo, b_hi, err,
-    depth; a node pair each, with a = b for a node and itself. ``close``: whether rows within the budget are
-    links, given two arrays of them (all are, unless given).
+    ``value``: rotated bits, sorted within each node. ``r``: the start block (a trie each). ``tasks``: arrays
+    a_lo, a_hi, b_lo, b_hi, err, depth; a node pair each, with a = b for a node and itself.
     """
     n = len(value)
     forest = Forest(n)
     allowed, r = budgets(budget), r.astype(np.int64)
     near = np.flatnonzero((np.bitwise_count(value[1:] ^ value[:-1]) <= budget) & (r[1:] == r[:-1]))
-    if close is not None:
-        near = near[close(near, near + 1)]
     forest.join(near, near + 1)
     t_depth = tasks[5]
     front = [np.zeros(0, np.int64)] * 5
@@ -237,13 +266,7 @@ def trie_join(value: np.ndarray, r: np.ndarray, tasks: list[np.ndarray], budget:
             u, v = np.repeat(al[k], p) + j // w, np.repeat(bl[k], p) + j % w
             hit = (u != v) & (np.bitwise_count(value[u] ^ value[v]) <= budget)
             if hit.any():
-                u, v = u[hit], v[hit]
-                new = forest.label[u] != forest.label[v]
-                u, v = u[new], v[new]
-                if close is not None and len(u):
-                    new = close(u, v)
-                    u, v = u[new], v[new]
-                forest.join(u, v)
+                forest.join(u[hit], v[hit])
 
     for depth in range(int(t_depth.min()) if len(t_depth) else 64, 65):
         own = t_depth == depth
@@ -272,7 +295,7 @@ def trie_join(value: np.ndarray, r: np.ndarray, tasks: list[np.ndarray], budget:
         al, ah, bl, bh, err = front
         keep = (ah > al) & (bh > bl)
         front = [f[keep] for f in front]
-        keep = front[4] <= allowed[r[front[0]] % (budget + 1), depth + 1]
+        keep = front[4] <= allowed[r[front[0]], depth + 1]
         front = [f[keep] for f in front]
     return forest
 
@@ -283,25 +306,24 @@ _TASK = ["r", "depth", "a", "b", "err"]
 def trie_tasks(prints: DataFrame, budget: int, task_rows: int = TASK_ROWS) -> DataFrame:
     """r, depth, a, b (prefixes of the node pair, a <= b), err, side, v (rotated): each fingerprint in each task that it has a part in.
 
-    ``prints``: fp, trie (the number of the word that it is), and other columns, which are carried along.
+    ``prints``: distinct fp.
     """
-    carry = [c for c in prints.columns if c not in ("fp", "trie")]
     first_bits = min(FIRST_BITS, *ring_blocks(budget))
 
     def first():
-        def run(fp, trie):
+        def run(fp):
             n = len(fp)
             at = np.repeat(np.arange(n), budget + 1)
             r = np.tile(np.arange(budget + 1), n)
             v = rotated(fp.to_numpy().view(np.uint64)[at], r, budget)
             top = pa.array((v >> np.uint64(64 - first_bits)).astype(np.int64))
             none = pa.array(np.zeros(len(at), np.int64))
-            yield at, [pa.array(r + trie.to_numpy()[at] * (budget + 1)), pa.array(np.full(len(at), first_bits)), top, top, none, none, pa.array(v.view(np.int64))]
+            yield at, [pa.array(r), pa.array(np.full(len(at), first_bits)), top, top, none, none, pa.array(v.view(np.int64))]
 
         return run
 
     made = "r bigint, depth bigint, a bigint, b bigint, err bigint, side bigint, v bigint"
-    rows = expand_rows(prints, first, ["fp", "trie"], made, carry)
+    rows = expand_rows(prints, first, ["fp"], made)
     allowed = budgets(budget)
     done = None
     depth = first_bits
@@ -317,7 +339,7 @@ def trie_tasks(prints: DataFrame, budget: int, task_rows: int = TASK_ROWS) -> Da
             def run(r, a, b, err, side, v):
                 r, a, b, err, side, v = (x.to_numpy() for x in (r, a, b, err, side, v))
                 own = ((v.view(np.uint64) >> np.uint64(64 - depth)) & np.uint64((1 << MORE_BITS) - 1)).astype(np.int64)
-                most = allowed[r % (budget + 1), depth] - err
+                most = allowed[r, depth] - err
                 for mask in range(1 << MORE_BITS):
                     at = np.flatnonzero(mask.bit_count() <= most)
                     if not len(at):
@@ -333,23 +355,19 @@ def trie_tasks(prints: DataFrame, budget: int, task_rows: int = TASK_ROWS) -> Da
             return run
 
         big = rows.join(large, _TASK, "left_semi")
-        rows = cut(expand_rows(big, deeper, ["r", "a", "b", "err", "side", "v"], made, carry))
+        rows = cut(expand_rows(big, deeper, ["r", "a", "b", "err", "side", "v"], made))
     return rows if done is None else done.unionByName(rows)
 
 
 def links(prints: DataFrame, budget: int = 4, task_rows: int = TASK_ROWS) -> DataFrame:
     """u, v: a forest of links, in each task, that joins all pairs at most ``budget`` bits apart.
 
-    ``prints``: distinct fp; or fp, trie, node and words (a wide fingerprint as bytes), for links between nodes
-    whose words differ in at most ``FAR`` bits together.
+    ``prints``: distinct fp.
     """
-    wide = "words" in prints.columns
-    if not wide:
-        prints = prints.select("fp", F.lit(0).cast("long").alias("trie"))
     tasks = trie_tasks(prints, budget, task_rows)
     n = prints.count() * (budget + 1)
     parts = min(-(-n // 20_000), prints.sparkSession.sparkContext.defaultParallelism * 4)
-    tasks = tasks.repartition(max(1, -(-n // WIDE_TASK_ROWS) if wide else parts if n < task_rows * 64 else -(-n // task_rows)), *_TASK)
+    tasks = tasks.repartition(max(1, parts if n < task_rows * 64 else -(-n // task_rows)), *_TASK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
@@ -370,31 +388,9 @@ def links(prints: DataFrame, budget: int = 4, task_rows: int = TASK_ROWS) -> Dat
         al, ah, bl, bh = new, np.where(itself, ends, mids), np.where(itself, new, mids), ends
         live = (ah > al) & (bh > bl)
         pairs = [x[live] for x in (al, ah, bl, bh, err[new], depth[new])]
-        if not wide:
-            name = rotated(v, r, budget, back=True).view(np.int64)
-            for u, w in trie_join(v, r, pairs, budget).pairs:
-                yield pa.RecordBatch.from_arrays([pa.array(name[u]), pa.array(name[w])], names=["u", "v"])
-            return
-        name = t.column("node").to_numpy()[order]
-        column = t.column("words").combine_chunks()
-        begin = int(np.frombuffer(column.buffers()[1], np.int32)[column.offset])
-        words = np.frombuffer(column.buffers()[2], np.uint64, len(column) * WORDS, begin).reshape(-1, WORDS)[order]
-        # a node pair's rows are neighbours: some pairs at a time, so that few rows are joined at once
-        for i, j in groups_of((pairs[3] - pairs[0]).tolist(), WIDE_AT_ONCE):
-            lo, hi = int(pairs[0][i]), int(pairs[3][j - 1])
-            some = words[lo:hi]
-
-            def close(x, y, some=some):
-                out = np.zeros(len(x), bool)
-                for k in range(0, len(x), 1 << 18):
-                    p, q = x[k : k + (1 << 18)], y[k : k + (1 << 18)]
-                    out[k : k + (1 << 18)] = np.bitwise_count(some[p] ^ some[q]).sum(axis=1) <= FAR
-                return out
-
-            part = [x[i:j] - (lo if k < 4 else 0) for k, x in enumerate(pairs)]
-            for u, w in trie_join(v[lo:hi], r[lo:hi], part, budget, close).pairs:
-                yield pa.RecordBatch.from_arrays([pa.array(name[lo + u]), pa.array(name[lo + w])], names=["u", "v"])
-        give_back()
+        name = rotated(v, r, budget, back=True).view(np.int64)
+        for u, w in trie_join(v, r, pairs, budget).pairs:
+            yield pa.RecordBatch.from_arrays([pa.array(name[u]), pa.array(name[w])], names=["u", "v"])
 
     return map_batches(tasks, run, "u bigint, v bigint")
 
@@ -437,11 +433,114 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return map_batches(both.select("u", "v", "a", "b"), run, "u bigint, v bigint")
 
 
-def similar_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", task_rows: int = WIDE_TASK_ROWS) -> DataFrame:
+def _all_pairs(sketch: np.ndarray, size: np.ndarray) -> Iterator[Forest]:
+    """Forests of likely pairs that share no pair, from all pairs of rows of each band, the nearest first: the bands' rows follow each other, ``size`` in each."""
+    n, square = len(sketch), size * size
+    j = np.arange(int(square.sum())) - np.repeat(np.cumsum(square) - square, square)
+    w, begin = np.repeat(size, square), np.repeat(np.cumsum(size) - size, square)
+    u, v = begin + j // w, begin + j % w
+    u, v = u[u < v], v[u < v]
+    d = differing(sketch[u], sketch[v])
+    u, v, d = (x[d <= FAR] for x in (u, v, d))
+    for _ in range(FORESTS):
+        if not len(u):
+            return
+        forest = Forest(n)
+        for level in np.unique(d):
+            forest.join(u[d == level], v[d == level])
+        yield forest
+        left = ~np.isin(u * n + v, np.concatenate([x * n + y for x, y in forest.pairs]))
+        u, v, d = u[left], v[left], d[left]
+
+
+def _met(sketch: np.ndarray) -> Forest:
+    """Links of the rows of one band without all pairs at once: rows are compared with those that none has met yet."""
+    forest = Forest(len(sketch))
+    for most in _LEVELS:
+        _, part, n = np.unique(forest.label, return_inverse=True, return_counts=True)
+        rows, begin = np.argsort(part, kind="stable"), np.cumsum(n) - n
+        unmet, us, vs = np.arange(len(sketch)), [], []
+        met = np.zeros(len(n), bool)
+        for p in np.argsort(-n, kind="stable"):
+            if met[p]:
+                continue
+            met[p] = True
+            unmet = unmet[part[unmet] != p]
+            queue = [rows[begin[p] : begin[p] + n[p]]]
+            while queue and len(unmet):
+                q, step = queue.pop(), max(1, (1 << 17) // len(unmet))
+                if len(q) > step:
+                    queue.append(q[step:])
+                    q = q[:step]
+                d = differing(sketch[q][:, None], sketch[unmet][None])
+                least = d.argmin(axis=0)
+                hit = np.flatnonzero(d[least, np.arange(len(unmet))] <= most)
+                if len(hit):
+                    us.append(q[least[hit]])
+                    vs.append(unmet[hit])
+                    met[new := np.unique(part[vs[-1]])] = True
+                    unmet = unmet[~met[part[unmet]]]
+                    queue.append(np.concatenate([rows[begin[k] : begin[k] + n[k]] for k in new]))
+            if not len(unmet):
+                break
+        if us:
+            forest.join(np.concatenate(us), np.concatenate(vs))
+    return forest
+
+
+def band_links(nodes: DataFrame, task_rows: int = BAND_TASK_ROWS) -> DataFrame:
+    """u, v, forest: likely pairs of nodes that share a band, as their sketches differ in at most ``FAR`` hashes.
+
+    Of a band of up to ``FORESTS`` + 1 nodes, all of them; of a larger one so many forests (forest 0 joins all that
+    likely pairs join), so that what a wrong pair seems to join is joined by others.
+
+    ``nodes``: node (each once), sketch and bands, as bytes.
+    """
+
+    def split():
+        def run(keys):
+            k = np.frombuffer(b"".join(keys.to_pylist()), np.int64)
+            yield np.repeat(np.arange(len(keys)), BANDS), [pa.array(k)]
+
+        return run
+
+    rows = expand_rows(nodes.select("node", "sketch", "bands"), split, ["bands"], "band bigint", ["node", "sketch"])
+    rows = rows.repartition(max(1, -(-nodes.count() * BANDS // task_rows)), "band")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        t = pa.Table.from_batches(got)
+        band, node = t.column("band").to_numpy(), t.column("node").to_numpy()
+        order = np.lexsort((node, band))
+        new = np.flatnonzero(np.concatenate([[True], np.diff(band[order]) != 0]))
+        size = np.diff(np.append(new, len(order)))
+        order, size = order[np.repeat(size > 1, size)], size[size > 1]
+        node = node[order]
+        sketch = np.frombuffer(b"".join(t.column("sketch").take(pa.array(order)).to_pylist()), np.uint64).reshape(-1, SKETCHED // 16)
+        begin = np.cumsum(size) - size
+        for i, j in groups_of((size * size).tolist(), ALL_PAIRS * ALL_PAIRS):
+            lo, hi = int(begin[i]), int(begin[j - 1] + size[j - 1])
+            if size[i] > ALL_PAIRS:
+                orders = [np.random.default_rng(k).permutation(hi - lo) for k in range(FORESTS)]
+                forests = ((x, _met(sketch[lo:hi][x])) for x in orders)
+            else:
+                forests = ((np.arange(hi - lo), x) for x in _all_pairs(sketch[lo:hi], size[i:j]))
+            for k, (at, forest) in enumerate(forests):
+                if forest.pairs:
+                    u, v = (node[lo + at[np.concatenate(x)]] for x in zip(*forest.pairs))
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(np.full(len(u), k))], names=["u", "v", "forest"])
+        give_back()
+
+    return map_batches(rows, run, "u bigint, v bigint, forest bigint")
+
+
+def similar_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", task_rows: int = BAND_TASK_ROWS) -> DataFrame:
     """doc_id, component_id: the smallest doc_id reachable over pairs of texts whose sets of five-word shingles are 0.8 similar or more, for every row.
 
-    Pairs are found by their wide fingerprints, so a few of similarity near 0.8 may be missed (of similarity 0.8
-    exactly, a pair alone is met with a chance of 0.96, of 0.85 with 0.99); no pair of a lower similarity is a link.
+    Pairs are found by bands of least hashes, so a few of similarity near 0.8 may be missed (of similarity 0.8
+    exactly, a pair alone is met with a chance of 0.999, nearer ones surely); no pair of a lower similarity is a link.
     Equal sets are one node. A null doc_id belongs to its component, and is its id only if no doc_id in it is
     known. Texts without words are equal. Repeated rows count once; an empty table gives an empty result.
     """
@@ -451,7 +550,8 @@ def similar_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     def prints():
         def run(texts):
             sets = shingle_sets(texts)
-            return pa.array([node_of(s) for s in sets], pa.int64()), pa.array([wide_fingerprint(s).tobytes() for s in sets], pa.binary())
+            least = least_hashes(sets)
+            return pa.array([node_of(s) for s in sets], pa.int64()), *(pa.array([x.tobytes() for x in f(least)], pa.binary()) for f in (sketches, bands))
 
         return run
 
@@ -462,20 +562,21 @@ def similar_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
 
         return run
 
-    d = cut(map_columns(docs, prints, ["text"], "node bigint, words binary", ["doc_id", "row"]))
-    nodes = cut(d.groupBy("node").agg(F.min("row").alias("row"), F.first("words").alias("words")))
-
-    def split():
-        def run(words):
-            w = np.frombuffer(b"".join(words.to_pylist()), np.int64).reshape(-1, WORDS)[:, :TRIES]
-            yield np.repeat(np.arange(len(w)), TRIES), [pa.array(w.ravel()), pa.array(np.tile(np.arange(TRIES), len(w)))]
-
-        return run
+    d = cut(map_columns(docs, prints, ["text"], "node bigint, sketch binary, bands binary", ["doc_id", "row"]))
+    nodes = cut(d.groupBy("node").agg(F.min("row").alias("row"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
 
-    pairs = cut(links(expand_rows(nodes.select("node", "words"), split, ["words"], "fp bigint, trie bigint", ["node", "words"]), WIDE_BUDGET, task_rows).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u != v").distinct())
+    pairs = cut(band_links(nodes, task_rows).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "forest").where("u != v").groupBy("u", "v").agg(F.min("forest").alias("forest")))
     wanted = cut(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "row"), "node").select("row").distinct())
     if n := wanted.count():
         some = docs.join(F.broadcast(wanted) if n <= BROADCAST_NODES else wanted, "row", "left_semi")
         sets = cut(map_columns(some, whole, ["text"], "node bigint, s binary").dropDuplicates(["node"]))
-        pairs = cut(_confirmed(pairs, sets))
+        if pairs.count() <= PAIRS_EACH * nodes.count():
+            pairs = cut(_confirmed(pairs, sets))
+        else:
+            # what one forest has joined is not compared again
+            found = cut(_confirmed(pairs.where("forest = 0"), sets))
+            root = roots(found)
+            of = lambda x: root.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
+            rest = cut(pairs.where("forest > 0").join(of("u"), "u", "left").join(of("v"), "v", "left").where("coalesce(u_root, u) != coalesce(v_root, v)").select("u", "v"))
+            pairs = found.unionByName(cut(_confirmed(rest, sets)))
     return _components(d.select("doc_id", "node"), pairs, "node")

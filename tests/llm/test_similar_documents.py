@@ -73,3 +73,54 @@ def test_odd_rows(spark):
     assert got.count() == len(rows)
     assert {(r.doc_id, r.component_id) for r in got.collect()} == brute_components(rows)
     assert simhash.similar_documents(docs.limit(0)).count() == 0
+
+
+def files_of(spark, folder):
+    """Bytes of the files in a folder of the shared one."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(conf).getContentSummary(path).getLength()
+
+
+def test_disk_does_not_grow_as_tasks_get_smaller(spark):
+    """A table that is large for its tasks leaves no more rows on disk: no row is copied to deal it out."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    simhash.similar_documents(docs.limit(0)).count()  # sets the folder
+    folder, sizes = spark.sparkContext.getCheckpointDir(), []
+    for task_rows in (200_000, 40):
+        before = files_of(spark, folder)
+        simhash.similar_documents(docs, task_rows=task_rows).count()
+        sizes.append(files_of(spark, folder) - before)
+    assert 0 < sizes[1] < 1.3 * sizes[0]
+
+
+def test_short_texts(spark):
+    """Of sets of four and five shingles that share four, all pairs are found."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(200):
+        words = [f"w{x}" for x in rng.integers(0, 10**9, 9)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:8]))]
+    got = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {(r.doc_id, r.component_id) for r in got.collect()} == {(i, i - i % 2) for i in range(400)}
+
+
+def test_large_bands_by_steps_as_by_all_pairs():
+    """Rows of one band that are compared with those not met yet are joined as by all pairs; forests share no pair."""
+    rng = np.random.default_rng(5)
+    sketch = rng.integers(0, 2**63, (600, 6), dtype=np.uint64)
+    for i in range(0, 600, 3):
+        sketch[i + 1] = sketch[i] ^ np.array([0x1111111, 0, 0, 0, 0, 0], np.uint64)
+        sketch[i + 2] = sketch[i + 1] ^ np.array([0, 0, 0, 0x1111111111111111, 0x11111, 0], np.uint64)
+    forests = list(simhash._all_pairs(sketch, np.array([len(sketch)])))
+    assert np.array_equal(simhash._met(sketch).label, forests[0].label) and len(np.unique(forests[0].label)) == 200
+    pairs = [(a, b) for f in forests for x, y in f.pairs for a, b in zip(x.tolist(), y.tolist())]
+    assert len(pairs) == len(set(pairs)) == 600
+
+
+def test_one_forest_first_finds_the_same(spark, monkeypatch):
+    """Confirming one forest of pairs, and of the others what it has not joined, gives all components."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    monkeypatch.setattr(simhash, "PAIRS_EACH", 0)
+    got = {(r.doc_id, r.component_id) for r in simhash.similar_documents(docs).collect()}
+    assert got == brute_components([tuple(r) for r in docs.collect()])
