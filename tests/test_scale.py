@@ -68,3 +68,34 @@ def test_manifold_links_by_all_shared_terms(spark, tmp_path):
     spark.createDataFrame([(1, "alpha")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = {r["rank"]: r.doc_id for r in QUERIES["r8_manifold_rerank"](spark, str(tmp_path)).collect()}
     assert got[1] == 1
+
+
+@pytest.mark.parametrize("name", ["ag6_cooccurrence", "ag8_ppmi", "j5_pair_counts", "tp19_hub_signatures", "ag26_heavy_anchors", "ag10_pmi_graph", "g7_knowledge_graph"])
+def test_meetings_are_not_shuffled_as_rows(spark, corpus, name):
+    """A text of 240 words has 5,640 meetings; the runs of all must be smaller than three bytes each."""
+    path, size = corpus
+    before = shuffled(spark)
+    QUERIES[name](spark, path).write.format("noop").mode("overwrite").save()
+    assert shuffled(spark) - before < min(3 * 1600 * 5640, 8 * size)
+
+
+def test_pairs_by_brute_force(spark, tmp_path):
+    """Long texts over several windows, rare words, digits before words and stop words, by plain loops."""
+    import re
+    from collections import Counter
+
+    from corpuslens.functions.text import STOP_WORDS
+
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["the", "9abc", "Abc", "xy", f"v{rng.randrange(70)}", f"v{rng.randrange(9)}q"]) for _ in range(rng.randrange(1, 400))) for _ in range(40)] + [None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    met = Counter()
+    for t in texts:
+        w = [x for x in re.findall("[a-z][a-z0-9]+", (t or "").lower()) if len(x) > 2 and x not in STOP_WORDS]
+        for i in range(0, len(w), 48):
+            own = sorted(set(w[i : i + 48]))
+            met.update((a, b) for k, a in enumerate(own) for b in own[k + 1 :])
+    got = {(r.a, r.b): r.c for r in QUERIES["ag6_cooccurrence"](spark, str(tmp_path)).collect()}
+    assert got == {p: c for p, c in met.items() if c >= 4}
+    tally = {r.c: r.pairs for r in QUERIES["j5_pair_counts"](spark, str(tmp_path)).collect()}
+    assert tally == Counter(met.values())
