@@ -99,3 +99,38 @@ def test_pairs_by_brute_force(spark, tmp_path):
     assert got == {p: c for p, c in met.items() if c >= 4}
     tally = {r.c: r.pairs for r in QUERIES["j5_pair_counts"](spark, str(tmp_path)).collect()}
     assert tally == Counter(met.values())
+
+
+def test_sub_words_are_summed_where_they_are(spark, corpus):
+    path, size = corpus
+    before = shuffled(spark)
+    assert QUERIES["tp1_subword_index"](spark, path).collect()
+    assert shuffled(spark) - before < size / 2
+
+
+def test_audit_of_a_long_text_reads_it_once(spark, tmp_path):
+    """120,000 tokens of which each stands only where it comes from: the text must not be read from the beginning for each."""
+    import time
+
+    spark.createDataFrame([(1, " ".join(f"t{i}" for i in range(120_000))), (2, None), (3, "Ab ab")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "a")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    began = time.time()
+    assert not QUERIES["r44_completeness_audit"](spark, str(tmp_path)).collect()
+    assert time.time() - began < 20
+
+
+def test_dense_similarity_of_many_vectors(spark, tmp_path):
+    """8,000 vectors against a matrix product; equal vectors go by their ids."""
+    import numpy as np
+
+    x = np.random.default_rng(4).normal(size=(8000, 16)).astype(np.float32)
+    x[7] = x[3]
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {}
+    for r in QUERIES["j19_dense_similarity"](spark, str(tmp_path)).collect():
+        got.setdefault(r.qid, []).append((r["rank"], r.vec_id))
+    y = x.astype(np.float64)
+    for q in range(0, 8000, 50):
+        score = np.round(y @ y[q], 9)
+        score[q] = -np.inf
+        assert [v for _, v in sorted(got[q])] == np.lexsort((np.arange(8000), -score))[:5].tolist()
