@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.functions.text import CRUDE_ENDINGS, crude_stem, nfkc, plain_tokens, stem
+from corpuslens.functions.text import CRUDE_ENDINGS, content_words, crude_stem, nfkc, plain_tokens, stem
 from corpuslens.operators import adaptive, copies, evaluation, grams, graph, latent, retrieval, scoring
 from corpuslens.session import ship_package
 
@@ -209,6 +210,20 @@ def r44_completeness_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grams.unheld(docs, plain_tokens(F.col("text")))
 
 
+def r2_multi_view_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    if not Base.bounded(spark, sf_dir):
+        return _plan("r2_multi_view_bm25")(spark, sf_dir)
+    docs, items = _tables(spark, sf_dir)
+    asked = {(r.item_id, kind + t) for r in items.select("item_id", content_words(F.col("text")).alias("t")).collect() for w in r.t or () for kind, t in [("w", w), *([("p", w[:4])] if len(w) >= 4 else []), *(("t", w[i : i + 3]) for i in range(len(w) - 2))]}
+    known = {r.token: r for r in grams.view_counts(docs, sorted({t for _, t in asked})).collect()}  # a row for each term asked for
+    n, total = (known[""].df, known[""].dl) if "" in known else (0, 0.0)
+    idf = {t: math.log(1 + (n - r.df + 0.5) / (r.df + 0.5)) for t, r in known.items() if t}
+    terms = scoring.Terms([Row(qid=q, token=t) for q, t in asked if idf.get(t, 0.0) >= 0.3], idf=lambda r: idf[r.token])
+    sums = lambda of, tf, dl, avgdl: [of["idf"] * 1.9 * tf / (tf + 0.9 * 0.6 + 0.9 * 0.4 * dl / avgdl)]
+    found = scoring.scored(docs, terms, sums, ["score"], total / n if n else 1.0, keep=scoring.first_of(10, lambda q, c: c["score"]), bag=grams.Views(terms.tokens))
+    return retrieval.top_k(found, 10).select("qid", "doc_id", "rank")
+
+
 def r43_shared_rare_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, _ = _tables(spark, sf_dir)
     return copies.near_copies(docs) if scoring.keyed(docs, "doc_id") else _plan("r43_shared_rare_jaccard")(spark, sf_dir)
@@ -247,7 +262,7 @@ def _plan(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: spark.sql(sql_of(PLANS[name], "spark", sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _FRAMES} | {n: stepwise(n) if n in STEPS else paired(n) if n in PAIRED else _plan(n) for n in PLANS} | {f.__name__: f for f in (r43_shared_rare_jaccard, tp1_subword_index, r44_completeness_audit)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _FRAMES} | {n: stepwise(n) if n in STEPS else paired(n) if n in PAIRED else _plan(n) for n in PLANS} | {f.__name__: f for f in (r2_multi_view_bm25, r43_shared_rare_jaccard, tp1_subword_index, r44_completeness_audit)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -102,10 +102,18 @@ def test_pairs_by_brute_force(spark, tmp_path):
 
 
 def test_sub_words_are_summed_where_they_are(spark, corpus):
+    path, size = corpus
+    for name in ("tp1_subword_index", "r2_multi_view_bm25"):
+        before = shuffled(spark)
+        assert QUERIES[name](spark, path).collect()
+        assert shuffled(spark) - before < size / 2
+
+
+def test_word_sets_are_one_row_each(spark, corpus):
     path, size = corpus
     before = shuffled(spark)
-    assert QUERIES["tp1_subword_index"](spark, path).collect()
-    assert shuffled(spark) - before < size / 2
+    QUERIES["r43_shared_rare_jaccard"](spark, path).collect()
+    assert shuffled(spark) - before < 2 * size
 
 
 def test_audit_of_a_long_text_reads_it_once(spark, tmp_path):
